@@ -55,3 +55,14 @@ def words_of(text: Column) -> Column:
     """Words between ASCII white space."""
     flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
     return F.array_remove(F.split(flat, " "), "")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that stand for a row: its id and its whole text."""
+    return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))))
+
+
+def with_text(row: Column, names: list[str], text: Column) -> list[Column]:
+    """The columns `names` of the struct `row`, with another text (and n_chars, if there is such a column)."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return [new.get(n, row.getField(n)).alias(n) for n in names]
