@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup as op5
+from . import quality_classifier as op3
 from . import quality_rules as op4
 from . import sentence_piece as op6
+from . import toxicity as op9
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_classifier": op3.op3_quality_classifier,
         "op4_quality_rules": op4.op4_quality_rules,
         "op5_line_dedup": op5.op5_line_dedup,
         "op6_sentence_piece": op6.op6_sentence_piece,
+        "op9_toxicity": op9.op9_toxicity,
     }
 
 
