@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, text_key, words_of
+from .common import let, stash, table, text_key, words_of
 
 MIN_DOCS = 20
 SHARE = 0.15
@@ -81,12 +81,13 @@ def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHAR
     hashed = F.transform(
         _lines(text), lambda x: let(_normal(x), lambda n: F.struct(F.xxhash64(n).alias("line"), F.size(F.split(n, " ")).alias("words")))
     )
-    by_text = (
+    by_text = stash(
         docs.select(F.col("source").alias("_host"), text_key(text).alias("_key"), F.explode(hashed).alias("x"))
         .select("_host", "_key", "x.line", "x.words")
         .groupBy("_host", "_key", "line")
-        .agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("n"))
-    )
+        .agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("n")),
+        "lines",
+    )  # read twice: for the counts, and for the lines above the limits
     texts = docs.select(F.col("source").alias("_of"), text_key(text).alias("_text")).groupBy("_of", "_text").agg(F.count(F.lit(1)).alias("copies"))
     hosts = texts.groupBy("_of").agg(F.count(F.lit(1)).alias("host_docs"))
     often = by_text.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
