@@ -42,14 +42,17 @@ def _hashes(text: Column) -> Column:
 def simhash(grams: Column) -> Column:
     """For each bit, whether it is set in more than half of the hashes. Counts of four bits at a time share a long."""
     n = F.size(grams)
-    sums = [F.aggregate(grams, F.lit(0).cast("long"), lambda a, h, g=g: a + F.shiftrightunsigned(h, g).bitwiseAND(_LANES)) for g in range(16)]
+
+    def counts(g: int) -> Column:
+        return F.aggregate(grams, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, g).bitwiseAND(_LANES))
+
 
     def bits(s: Column) -> Column:
         lanes = [(g + 16 * k, F.shiftrightunsigned(s[g], 16 * k).bitwiseAND(0xFFFF)) for g in range(16) for k in range(4)]
         values = [F.when(2 * c > n, F.lit((1 << b) - ((1 << 64) if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in lanes]
         return reduce(lambda a, b: a.bitwiseOR(b), values)
 
-    return let(F.array(*sums), bits)
+    return let(F.array(*(counts(g) for g in range(16))), bits)
 
 
 def _blocks(fingerprint: Column, radius: int) -> Column:

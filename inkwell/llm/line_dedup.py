@@ -48,49 +48,70 @@ def chunks(text: str, mean_lines: int = MEAN_LINES, window: int = WINDOW) -> lis
     return found
 
 
-def _rows(mean_lines: int, texts: bool):
-    fields = [("_key", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.binary())] + [("chunk", pa.string())] * texts
+def _hashed(mean_lines: int):
+    names = ["_key", "doc_id", "at", "h"]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in fields]
-            size = 0
+            out: list[list] = [[] for _ in names]
             for key, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for at, lines in chunks(text or "", mean_lines):
                     if len(lines) >= MIN_LINES:
-                        chunk = "\n".join(lines)
-                        for c, v in zip(out, (key, doc, at, xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass")), chunk), strict=False):
+                        for c, v in zip(out, (key, doc, at, _digest("\n".join(lines))), strict=True):
                             c.append(v)
-                        size += len(chunk)
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], [n for n, _ in fields])
-                    out, size = [[] for _ in fields], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], [n for n, _ in fields])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return run, "_key binary, doc_id long, at int, h binary" + ", chunk string" * texts
+    return run, "_key binary, doc_id long, at int, h binary"
 
 
-def removed_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
-    """_key and gone, the first lines of the chunks to remove."""
+def _digest(chunk: str) -> bytes:
+    return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
+
+
+def _fetched(mean_lines: int):
+    """The bytes of the chunks that are asked for, with their hash, count and whether they are the first."""
+    names = ["_key", "at", "h", "n", "is_first", "chunk"]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            texts = batch.column(1).field("text").to_pylist()
+            for key, text, asked in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
+                wanted = {x["at"]: x for x in asked}
+                for at, lines in chunks(text or "", mean_lines):
+                    if (x := wanted.get(at)) is not None:
+                        for c, v in zip(out, (key, at, x["h"], x["n"], x["is_first"], "\n".join(lines)), strict=True):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    return run, "_key binary, at int, h binary, n long, is_first boolean, chunk string"
+
+
+def removed_chunks(docs: DataFrame, rows: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
+    """_of and gone, the first lines of the chunks to remove; rows: _key and _row, of all columns of docs."""
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small = keyed.mapInArrow(*_rows(mean_lines, False))
+    small = keyed.mapInArrow(*_hashed(mean_lines))
     first = F.min(F.struct("doc_id", "_key", "at"))
-    often = small.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1")
-    found = keyed.mapInArrow(*_rows(mean_lines, True)).join(often.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).drop("_h")
+    often = small.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1").withColumnRenamed("h", "_h")
     is_first = (F.col("_key") == F.col("first._key")) & (F.col("at") == F.col("first.at"))
+    asked = small.join(often, F.col("h") == F.col("_h")).groupBy("_key").agg(F.collect_set(F.struct("at", "h", "n", is_first.alias("is_first"))).alias("asked"))
+    asked = asked.withColumnRenamed("_key", "_of")
+    found = rows.join(asked, F.col("_key") == F.col("_of")).select("_key", "_row", "asked").mapInArrow(*_fetched(mean_lines))
     hot = F.col("n") > HOT
-    others = found.filter(~is_first).select("_key", "at", "h", "chunk", F.when(hot, F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    others = found.filter("NOT is_first").select("_key", "at", "h", "chunk", F.when(hot, F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
     salts = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    firsts = found.filter(is_first).dropDuplicates(["h"]).select(F.col("h").alias("_h"), F.col("chunk").alias("_chunk"), salts.alias("_salt"))
+    firsts = found.filter("is_first").dropDuplicates(["h"]).select(F.col("h").alias("_h"), F.col("chunk").alias("_chunk"), salts.alias("_salt"))
     same = others.join(firsts, (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_salt")) & (F.col("chunk") == F.col("_chunk")))
-    return same.groupBy("_key").agg(F.collect_set("at").alias("gone"))
+    return same.groupBy("_key").agg(F.collect_set("at").alias("gone")).withColumnRenamed("_key", "_of")
 
 
 def _rebuilt(mean_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, facts = [], []
-            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, gone in zip(batch.column(0).field("text").to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, drop = chunks(text or "", mean_lines), set(gone or ())
                 left = [x for at, lines in found if at not in drop for x in lines]
                 kept.append(text if not drop else "\n".join(left))
@@ -109,9 +130,9 @@ def _rebuilt(mean_lines: int):
 
 def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     """_row (the struct of all columns of docs), _kept (its text without repeated chunks) and counts."""
-    gone = removed_chunks(docs, mean_lines).withColumnRenamed("_key", "_of")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", row_key(F.col("doc_id"), F.col("text")).alias("_key"))
-    joined = rows.join(gone, F.col("_key") == F.col("_of"), "left").select("_row", "text", "gone")
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    gone = removed_chunks(docs, rows, mean_lines)
+    joined = rows.join(gone, F.col("_key") == F.col("_of"), "left").select("_row", "gone")
     kind = f"_row {rows.schema['_row'].dataType.simpleString()}, _kept string, n_lines long, n_chunks long, n_removed_chunks long, n_removed_lines long"
     return joined.mapInArrow(_rebuilt(mean_lines), kind)
 
