@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination as op8
+from . import html_text as op7
 from . import line_dedup as op5
 from . import ngram_join as op1
 from . import paragraph_dedup as op10
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4.op4_quality_rules,
         "op5_line_dedup": op5.op5_line_dedup,
         "op6_sentence_piece": op6.op6_sentence_piece,
+        "op7_html_text": op7.op7_html_text,
         "op8_decontamination": op8.op8_decontamination,
         "op9_toxicity": op9.op9_toxicity,
         "op10_paragraph_dedup": op10.op10_paragraph_dedup,
