@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -120,41 +121,124 @@ def build_tokenizer(model: dict) -> Tokenizer:
     return made
 
 
-@lru_cache(2)
-def _loaded(name: str):
-    import sentencepiece
+class Codec:
+    """A model's tokenizer, and the sentencepiece library's processor for the same file.
+
+    Where no piece goes on over a metaspace marker, each marked word has the same ids in any text; the distinct
+    words of a batch are then encoded once, many to a string. Other models encode whole texts.
+    """
+
+    TOGETHER = 1000
+
+    def __init__(self, data: bytes):
+        import sentencepiece
+
+        model = parse_model(data)
+        self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.tokenizer = build_tokenizer(model)
+        self.by_word = self.tokenizer.pre_tokenizer is not None and not model["charsmap"] and not model["squeeze"] and all(p[2] != USER for p in model["pieces"])
+        self.prefix = SPACE if model["prefix"] else ""
+        ascii_byte = {f"<0x{b:02X}>": chr(b) for b in range(128)}
+        self.plain = [p if kind in (NORMAL, USER) else ascii_byte.get(p) if kind == BYTE else None for p, _, kind in model["pieces"]]
+        if self.by_word:
+            self.words = Tokenizer.from_str(self.tokenizer.to_str())
+            self.words.normalizer = normalizers.Sequence([])
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words on end, and how many each has."""
+        parts, alone = [], [i for i, w in enumerate(words) if w[0] != SPACE or w[-1] == SPACE]
+        apart = set(alone)
+        rest = [i for i in range(len(words)) if i not in apart]
+        groups = [[i] for i in alone] + [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
+        for group, e in zip(groups, self.words.encode_batch(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(group))
+            if len(counts) != len(group) or not counts.all():
+                raise ValueError("a word was split otherwise than alone")
+            parts.append((group, np.array(e.ids, np.int32), counts))
+        size = np.zeros(len(words), np.int64)
+        for group, _, counts in parts:
+            size[group] = counts
+        ends = np.cumsum(size)
+        out = np.empty(int(size.sum()), np.int32)
+        for group, ids, counts in parts:
+            out[_ranges(ends[group] - counts, counts)] = ids
+        return out, size
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(e.ids if t else [], np.int32) for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
+        place: dict[str, int] = {}
+        split = [[place.setdefault(w, len(place)) for w in _MARKED.findall(self.prefix + t.replace(" ", SPACE))] if t else [] for t in texts]
+        ids, size = self._encode_words(list(place))
+        start = np.cumsum(size) - size
+        out = []
+        for words in split:
+            w = np.array(words, np.int64)
+            out.append(ids[_ranges(start[w], size[w])])
+        return out
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Pieces joined, markers as blanks; texts with other bytes than ASCII, control or unknown pieces go to the library."""
+        out: list[str] = []
+        for one in ids:
+            try:
+                text = "".join([self.plain[i] for i in one]).replace(SPACE, " ")
+                out.append(text[1:] if self.prefix and text[:1] == " " else text)
+            except TypeError:
+                out.append(self.tokenizer.decode(list(one), skip_special_tokens=False))
+        return out
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, on end."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+def _parts(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices with about so many characters of text, in column 1."""
+    at, size = 0, 0
+    for i, t in enumerate(batch.column(1).to_pylist()):
+        size += len(t or "")
+        if size >= chars:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+_MARKED = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
 
+@lru_cache(2)
+def _loaded(name: str) -> Codec:
     path = name if os.path.exists(name) else SparkFiles.get(os.path.basename(name))
     with open(path, "rb") as f:
-        data = f.read()
-    return build_tokenizer(parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+        return Codec(f.read())
 
 
-def encode_texts(name: str, texts: list[str]) -> list[list[int]]:
-    tokenizer, _ = _loaded(name)
-    found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-    return [e.ids if t else [] for e, t in zip(found, texts, strict=True)]
+def encode_texts(name: str, texts: list[str]) -> list[np.ndarray]:
+    return _loaded(name).encode(texts)
 
 
 def decode_ids(name: str, ids: list[list[int]]) -> list[str]:
-    return _loaded(name)[0].decode_batch(ids, skip_special_tokens=False)
+    return _loaded(name).decode(ids)
 
 
 def _digests(name: str):
     fields = {"doc_id": pa.int64(), "n_ids": pa.int64(), "ids_sha256": pa.string(), "round_trip": pa.bool_(), "parity": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, own = _loaded(name)
+        own = _loaded(name).own
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in _parts(whole):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = encode_texts(name, texts)
-                back = decode_ids(name, ids)
+                back = decode_ids(name, [i.tolist() for i in ids])
                 same = own.encode(texts, num_threads=1)
                 normal = own.normalize(texts)
                 rows = [
-                    (len(i), hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest(), b == (n.replace(SPACE, " ").removeprefix(" ")), i == s)
+                    (len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), b == n.replace(SPACE, " ").removeprefix(" "), np.array_equal(i, np.array(s, np.int32)))
                     for i, b, n, s in zip(ids, back, normal, same, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), list(fields.values())[1:], strict=True))], list(fields))
@@ -168,8 +252,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in _parts(whole):
                 ids = encode_texts(model, [t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
