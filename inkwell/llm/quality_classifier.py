@@ -156,10 +156,14 @@ def fit(train: DataFrame, n_features: int = N_FEATURES, ridge: float = RIDGE):
     return lambda x: np.clip(np.interp(raw(x), at, level), 0, 1)
 
 
+def label_of(labels: DataFrame, column: str, out: Column) -> DataFrame:
+    """_of (doc_id) and y of the labels that are known and not held out."""
+    return labels.filter(F.col(column).isNotNull() & ~out).groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).withColumnRenamed("doc_id", "_of")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, out: Column) -> DataFrame:
     """docs (with doc_id) joined with the labels y of rows that are not held out."""
-    y = labels.filter(F.col(column).isNotNull() & ~out).groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).withColumnRenamed("doc_id", "_of")
-    return docs.join(y, F.col("doc_id") == F.col("_of")).drop("_of")
+    return docs.join(label_of(labels, column, out), F.col("doc_id") == F.col("_of")).drop("_of")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
