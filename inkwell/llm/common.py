@@ -62,6 +62,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))))
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of df in one struct, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def with_text(row: Column, names: list[str], text: Column) -> list[Column]:
     """The columns `names` of the struct `row`, with another text (and n_chars, if there is such a column)."""
     new = {"text": text, "n_chars": F.length(text).cast("long")}

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, row_key, stash, table, words_of
+from .common import let, row_key, row_of, stash, table, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -107,7 +107,9 @@ def _mask(a: int, b: int) -> int:
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs that hold no item; columns as in docs."""
     found = find_items(docs, items, threshold).select(F.col("_key").alias("_gone")).distinct()
-    return docs.join(found, row_key(F.col("doc_id"), F.col("text")) == F.col("_gone"), "left_anti")
+    rows = docs.select(row_of(docs).alias("_row"), row_key(F.col("doc_id"), F.col("text")).alias("_key"))
+    left = rows.join(found, F.col("_key") == F.col("_gone"), "left_anti")
+    return left.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

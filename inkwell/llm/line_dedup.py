@@ -19,14 +19,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import row_key, table, with_text
+from .common import row_key, row_of, table, with_text
 
 WINDOW = 2
 MEAN_LINES = 3
 MIN_LINES = 2
 HOT = 1000
 SALTS = 64
+COUNTS = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 _MASK = (1 << 64) - 1
 
 
@@ -122,7 +124,7 @@ def _rebuilt(mean_lines: int):
             long = pa.int64()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, long), pa.array(n_chunks, long), pa.array(n_gone, long), pa.array(gone_lines, long)],
-                ["_row", "_kept", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines"],
+                ["_row", "_kept", *COUNTS],
             )
 
     return run
@@ -130,10 +132,10 @@ def _rebuilt(mean_lines: int):
 
 def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     """_row (the struct of all columns of docs), _kept (its text without repeated chunks) and counts."""
-    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), row_of(docs).alias("_row"))
     gone = removed_chunks(docs, rows, mean_lines)
     joined = rows.join(gone, F.col("_key") == F.col("_of"), "left").select("_row", "gone")
-    kind = f"_row {rows.schema['_row'].dataType.simpleString()}, _kept string, n_lines long, n_chunks long, n_removed_chunks long, n_removed_lines long"
+    kind = T.StructType([rows.schema["_row"], T.StructField("_kept", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])
     return joined.mapInArrow(_rebuilt(mean_lines), kind)
 
 
@@ -143,9 +145,8 @@ def filter_documents(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
     kept = F.coalesce("_kept", F.lit(""))
-    return found.select(F.col("_row.doc_id").alias("doc_id"), *counts, F.sha2(kept, 256).alias("kept_sha256"))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), *COUNTS, F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], mean_lines: int = MEAN_LINES) -> dict[int, str | None]:

@@ -19,18 +19,21 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stash, table
+from .common import row_of, stash, table
 from .near import THRESHOLD, band_keys, cells, components, forest, minhashes, shingles, verified
 
 BANDS, ROWS = 32, 4
 STEP = 16
 TOLERANCE = 1e-6
 BUCKET_CELL = 512
+_NO_ID = -(1 << 63)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +99,7 @@ def _pruned(threshold: float):
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of what hangs together by links), copy_id (least doc_id with the same shingles), n_links, n_linked_texts."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     signed = stash(own.mapInArrow(_signed, "doc_id long, rid long, bands array<long>, low binary"), "signed")
     nodes = signed.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = stash(nodes, "nodes")
@@ -120,8 +123,9 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     zero = F.lit(0).cast("long")
     facts = ids.select(F.col("rid").alias("_rid"), "class_id", F.col("first").alias("copy_id"), (F.coalesce("docs", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", zero).alias("n_linked_texts"))
     rows = signed.select("doc_id", "rid").join(facts, F.col("rid") == F.col("_rid"), "left")
+    known = lambda c: F.nullif(c, F.lit(_NO_ID))
     return rows.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_linked_texts", zero).alias("n_linked_texts")
+        known(F.col("doc_id")).alias("doc_id"), known(F.coalesce("class_id", "doc_id")).alias("class_id"), known(F.coalesce("copy_id", "doc_id")).alias("copy_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_linked_texts", zero).alias("n_linked_texts")
     )
 
 
@@ -137,10 +141,23 @@ def _own_text(members: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but one document of each class; columns as in docs. Of rows with the least doc_id, one stays."""
-    facts = join_documents(docs, threshold)
-    gone = facts.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one document of each class, that of the least doc_id; of rows that repeat it, one. Columns as in docs."""
+    facts = stash(join_documents(docs, threshold), "facts")
+    gone = facts.filter("NOT doc_id <=> class_id").select(F.col("doc_id").alias("_id"))
+    again = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"))
+    rows = docs.select(row_of(docs).alias("_row"), F.col("doc_id").cast("long").alias("_doc"))
+    same = F.col("_doc").eqNullSafe(F.col("_id"))
+    single = rows.join(gone.union(again).distinct(), same, "left_anti").select("_row")
+    # the few rows whose doc_id repeats: several texts may have it, and only some of them may stay
+    repeated = rows.join(again, same, "left_semi").withColumn("_rid", _rid_of(F.col("_row.text"))).dropDuplicates(["_doc", "_rid"])
+    stay = facts.filter("doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
+    repeated = repeated.join(stay, same, "left_semi").select("_row")
+    return single.unionByName(repeated).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+
+@F.pandas_udf(T.LongType())
+def _rid_of(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: xxhash.xxh64_intdigest(shingles(t).tobytes()) - (1 << 63))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

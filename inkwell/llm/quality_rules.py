@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stash, table, text_key, words_of
+from .common import let, row_of, stash, table, text_key, with_text, words_of
 
 MIN_DOCS = 20
 SHARE = 0.15
@@ -53,12 +53,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(let(windows(words), repeated), covered))
 
 
-def base_columns(docs: DataFrame, row: list[str] | None = None) -> DataFrame:
-    """doc_id, host, key of the text and the base columns; with row, also the struct _row of those columns."""
+def base_columns(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id, host, key of the text and the base columns; with row, also the struct _row of all columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     facts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r")))
     dup = let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    whole = [F.struct(*row).alias("_row")] if row else []
+    whole = [row_of(docs).alias("_row")] if row else []
     read = docs.select(
         "doc_id",
         *whole,
@@ -121,8 +121,7 @@ def score_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SH
 
 def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that the rules keep, without the lines above the limits; columns as in docs."""
-    names = docs.columns
-    base = base_columns(docs, names)
+    base = base_columns(docs, row=True)
     gone = removed_lines(docs, min_docs, share).select(F.col("_host").alias("_of"), F.col("_key").alias("_text"), "_often", "_gone")
     joined = base.filter(~F.col("base_failed")).join(gone, (F.col("_key") == F.col("_text")) & F.col("_host").eqNullSafe(F.col("_of")), "left")
     left = F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0).cast("long"))
@@ -132,8 +131,7 @@ def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = S
     )
     cleaned = F.when(F.col("_often").isNull(), text).otherwise(F.array_join(rest, "\n"))
     kept = joined.filter(left >= F.lit(min_left) * F.col("n_words"))
-    size = F.length(cleaned).cast("long")
-    return kept.select(*(cleaned.alias(n) if n == "text" else (size.alias(n) if n == "n_chars" else F.col("_row").getField(n).alias(n)) for n in names))
+    return kept.select(*with_text(F.col("_row"), docs.columns, cleaned))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
