@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -45,7 +46,8 @@ def pack(kind: str, words: list[str]) -> bytes:
         body = "".join(f'<TextObject Boundary="10 {20 * i + 10} 90 8" Size="4"><TextCode>{_esc(w)}</TextCode></TextObject>' for i, w in enumerate(words))
         return _zip_of({"OFD.xml": "<x/>", "Doc_0/Pages/Page_0/Content.xml": f"<Page>{body}</Page>"})
     if kind == "rtf":
-        codes = lambda w: "".join(f"\\u{ord(c) if ord(c) < 32768 else ord(c) - 65536}?" if ord(c) > 126 or c in "\\{}" else c for c in w)
+        units = lambda c: struct.unpack(f"<{len(c.encode('utf-16-le')) // 2}h", c.encode("utf-16-le"))
+        codes = lambda w: "".join("".join(f"\\u{u}?" for u in units(c)) if ord(c) > 126 or c in "\\{}" else c for c in w)
         return ("{\\rtf1\\ansi{\\fonttbl{\\f0 X;}}" + "\\par ".join(codes(w) for w in words) + "}").encode("ascii")
     if kind == "eml":
         return ("From: a@example.com\nSubject: s\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n" + "\n".join(words)).encode()
