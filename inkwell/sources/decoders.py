@@ -12,8 +12,10 @@ import gzip
 import io
 import lzma
 import re
+import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from email import message_from_bytes, policy
 from html.parser import HTMLParser
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import legacy
+
 
 class Block(NamedTuple):
     kind: str
@@ -457,6 +461,45 @@ def decode_eml(content: bytes, depth: int = 0) -> list[Block]:
     return out
 
 
+def decode_xls(content: bytes) -> list[Block]:
+    out: list[Block] = []
+    for name, rows in legacy.sheets(content)[:MAX_SHEETS]:
+        kept, reason = limit_rows(iter(rows))
+        out.append(Block("h", 1, name))
+        if kept:
+            width = max(map(len, kept))
+            out.append(Block("table", 0, "", [r + [""] * (width - len(r)) for r in kept]))
+        if reason:
+            out.append(Block("quote", 0, f"cut at the limit of {reason}"))
+    return out
+
+
+def decode_doc(content: bytes) -> list[Block]:
+    return [Block("table", 0, "", x) if kind == "table" else Block("p", 0, x) for kind, x in legacy.word_blocks(legacy.word_text(content))]
+
+
+def decode_msg(content: bytes) -> list[Block]:
+    mail = legacy.message(content)
+    heads = [[k, v] for k, v in (("From", mail["from"]), ("To", mail["to"]), ("Subject", mail["subject"])) if v]
+    out = [Block("h", 1, mail["subject"] or "-"), Block("table", 0, "", [["Field", "Value"], *heads]), *decode_text(mail["body"].encode())]
+    for name, data in mail["attachments"]:
+        out.append(Block("h", 2, name))
+        kind = sniff(data, name)
+        try:
+            out += decode(data, kind) if kind not in ("eml", "msg") else []
+        except DecodeError as e:
+            out.append(Block("quote", 0, e.code))
+    return out
+
+
+def decode_pdf(content: bytes) -> list[Block]:
+    """A paragraph a page; a file without text is for recognition elsewhere."""
+    pages = legacy.pdf_pages(content)
+    if not any(pages):
+        raise DecodeError("needs_ocr", f"{len(pages)} pages")
+    return [Block("p", 0, p) for p in pages if p]
+
+
 def _mail_text(part) -> str:
     raw = part.get_payload(decode=True) or b""
     for encoding in (part.get_content_charset() or "utf-8", "utf-8", "gb18030"):
@@ -522,7 +565,9 @@ def sniff(content: bytes, name: str = "") -> str:
             if test in names:
                 return kind
         return "odt" if "content.xml" in names and "META-INF/manifest.xml" in names else "zip"
-    for head, kind in ((b"%PDF-", "pdf"), (b"{\\rtf", "rtf"), (b"ITSF", "chm"), (b"\xd0\xcf\x11\xe0", "ole"), (b"\x1f\x8b", "gz"), (b"BZh", "bz2"), (b"\xfd7zXZ", "xz"), (b"Rar!", "rar"), (b"7z\xbc\xaf", "7z")):
+    if content.startswith(b"\xd0\xcf\x11\xe0"):
+        return legacy.kind_of(content)
+    for head, kind in ((b"%PDF-", "pdf"), (b"{\\rtf", "rtf"), (b"ITSF", "chm"), (b"\x1f\x8b", "gz"), (b"BZh", "bz2"), (b"\xfd7zXZ", "xz"), (b"Rar!", "rar"), (b"7z\xbc\xaf", "7z")):
         if content.startswith(head):
             return kind
     if content[257:262] == b"ustar":
@@ -533,23 +578,29 @@ def sniff(content: bytes, name: str = "") -> str:
     if re.match(rb"(?:from|to|subject|date|received|return-path|delivered-to|mime-version|message-id): |from \S+@\S+ ", low):
         return "eml"
     ext = name.rpartition(".")[2].lower() if "." in name else ""
-    ext = {"htm": "html", "xhtml": "html", "wpsx": "docx", "dpsx": "pptx", "markdown": "md", "tgz": "gz"}.get(ext, ext)
+    ext = {"htm": "html", "xhtml": "html", "wpsx": "docx", "dpsx": "pptx", "markdown": "md", "tgz": "gz", "et": "xls", "etx": "xlsx", "wps": "doc"}.get(ext, ext)
     return ext if ext in DECODERS else "bin" if b"\0" in content[:64] else "txt"
 
 
 DECODERS: dict[str, Callable[[bytes], list[Block]]] = {
     "txt": decode_text, "md": decode_text, "csv": decode_csv, "html": decode_html, "rtf": decode_rtf, "docx": decode_docx,
     "xlsx": decode_xlsx, "pptx": decode_pptx, "odt": decode_odt, "ofd": decode_ofd, "eml": decode_eml,
+    "xls": decode_xls, "doc": decode_doc, "msg": decode_msg, "pdf": decode_pdf,
 }
 ARCHIVES = {"zip", "gz", "bz2", "xz", "tar"}
 #: Formats that need a program or library that isn't here; they give a typed error.
-EXTERNAL = {"pdf": "needs_ocr", "chm": "unsupported_format", "ole": "unsupported_format", "rar": "unsupported_format", "7z": "unsupported_format", "bin": "unsupported_format"}
+EXTERNAL = {"chm": "unsupported_format", "ole": "unsupported_format", "ppt": "unsupported_format", "rar": "unsupported_format", "7z": "unsupported_format", "bin": "unsupported_format"}
 
 
 def decode(content: bytes, kind: str) -> list[Block]:
     if kind not in DECODERS:
         raise DecodeError(EXTERNAL.get(kind, "unsupported_format"), kind)
-    return DECODERS[kind](content)
+    try:
+        return DECODERS[kind](content)
+    except PermissionError as e:
+        raise DecodeError("encrypted_document", str(e)) from e
+    except (struct.error, IndexError, zlib.error) as e:
+        raise DecodeError("malformed_document", f"{type(e).__name__}: {e}") from e
 
 
 def decoded(content: bytes, name: str, depth: int = 0) -> Iterator[tuple[str, str, list[Block], str, str]]:
