@@ -114,3 +114,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
+
+
+_GRAMS = "CASE WHEN len(w) < 5 THEN [] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"
+_WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+OP8_SQL = f"""
+WITH i AS (SELECT item_id, {_GRAMS} AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_GRAMS} AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+places AS (SELECT DISTINCT len(g) AS n, unnest(g) AS x, generate_subscripts(g, 1) AS q FROM i),
+seen AS (SELECT rid, doc_id, unnest(g) AS x, generate_subscripts(g, 1) AS p FROM d),
+wins AS (SELECT DISTINCT rid, n, p - q AS start FROM seen JOIN places USING (x)),
+cut AS (SELECT wins.rid, doc_id, n, start, g[start + 1:start + n] AS a FROM wins JOIN d USING (rid) WHERE start >= 0 AND start + n <= len(g)),
+pairs AS (SELECT rid, doc_id, item_id, start, n, a, i.g AS b, list_intersect(list_distinct(a), i.g) AS c FROM cut JOIN i ON len(i.g) = n),
+scored AS (SELECT rid, doc_id, item_id, start, n, list_sum(list_transform(c, lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS c FROM pairs WHERE len(c) > 0)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n + {SHINGLE - 1} AS INTEGER) AS n_words, c / (2 * n - c) AS similarity FROM scored WHERE c / (2 * n - c) >= {THRESHOLD}
+QUALIFY row_number() OVER (PARTITION BY rid, item_id ORDER BY c / (2 * n - c) DESC, start, n DESC) = 1
+"""

@@ -162,3 +162,19 @@ def _rid_of(text: pd.Series) -> pd.Series:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
+
+
+#: The same by joining shingles, for tables of this size; components by repeated steps along links.
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM d),
+k AS (SELECT doc_id, g, len(g) AS n, md5(array_to_string(g, chr(10))) AS rid FROM s),
+t AS (SELECT rid, any_value(g) AS g, any_value(n) AS n, min(doc_id) AS first, count(*) AS copies FROM k WHERE n > 0 GROUP BY rid),
+e AS (SELECT rid, n, unnest(g) AS x FROM t),
+p AS (SELECT a.rid AS a, b.rid AS b FROM e a JOIN e b ON a.x = b.x AND a.rid <> b.rid GROUP BY a.rid, b.rid, a.n, b.n HAVING count(*) >= {THRESHOLD} * (a.n + b.n - count(*)) - 1e-9),
+links AS (SELECT p.a AS rid, count(*) AS texts, sum(t.copies) AS docs FROM p JOIN t ON t.rid = p.b GROUP BY p.a),
+reach AS (SELECT rid AS a, rid AS b FROM t UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.b),
+cls AS (SELECT reach.a AS rid, min(t.first) AS class_id FROM reach JOIN t ON t.rid = reach.b GROUP BY reach.a)
+SELECT k.doc_id, coalesce(class_id, k.doc_id) AS class_id, coalesce(t.first, k.doc_id) AS copy_id, CAST(coalesce(docs, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, CAST(coalesce(texts, 0) AS BIGINT) AS n_linked_texts
+FROM k LEFT JOIN t ON k.rid = t.rid AND k.n > 0 LEFT JOIN links ON links.rid = t.rid LEFT JOIN cls ON cls.rid = t.rid
+"""

@@ -341,6 +341,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
 
 
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS m FROM d WHERE length(h) >= {2 * LENGTH}),
+twice AS (SELECT rid, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+edge AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM twice),
+spans AS (SELECT rid, k, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM edge) GROUP BY rid, k),
+gaps AS (SELECT rid, k, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY k) AS after FROM spans),
+kept AS (SELECT d.rid, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS h, sum(b - a) AS n_removed, count(*) AS n_spans FROM gaps JOIN d USING (rid) GROUP BY d.rid)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, digest of the rest) of each text; for tests."""
     seen: dict[bytes, int] = {}
