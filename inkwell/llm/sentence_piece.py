@@ -16,6 +16,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,7 @@ class Codec:
         self.tokenizer = build_tokenizer(model)
         self.by_word = self.tokenizer.pre_tokenizer is not None and not model["charsmap"] and not model["squeeze"] and all(p[2] != USER for p in model["pieces"])
         self.prefix = SPACE if model["prefix"] else ""
+        self.marked = np.array([p.startswith(SPACE) for p, _, _ in model["pieces"]])  # of a word's pieces only the first is
         ascii_byte = {f"<0x{b:02X}>": chr(b) for b in range(128)}
         self.plain = [p if kind in (NORMAL, USER) else ascii_byte.get(p) if kind == BYTE else None for p, _, kind in model["pieces"]]
         if self.by_word:
@@ -146,15 +148,16 @@ class Codec:
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words on end, and how many each has."""
-        parts, alone = [], [i for i, w in enumerate(words) if w[0] != SPACE or w[-1] == SPACE]
+        parts, alone = [], [i for i, w in enumerate(words) if w[0] != SPACE or w[1:2] in ("", SPACE)]
         apart = set(alone)
         rest = [i for i in range(len(words)) if i not in apart]
         groups = [[i] for i in alone] + [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
-        for group, e in zip(groups, self.words.encode_batch(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(group))
-            if len(counts) != len(group) or not counts.all():
+        for group, e in zip(groups, self.words.encode_batch_fast(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            first = np.flatnonzero(self.marked[ids]) if len(group) > 1 else np.zeros(1, np.int64)
+            if len(first) != len(group) or len(ids) and first[0]:
                 raise ValueError("a word was split otherwise than alone")
-            parts.append((group, np.array(e.ids, np.int32), counts))
+            parts.append((group, ids, np.diff(np.append(first, len(ids)))))
         size = np.zeros(len(words), np.int64)
         for group, _, counts in parts:
             size[group] = counts
@@ -167,16 +170,26 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids if t else [], np.int32) for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
-        place: dict[str, int] = {}
-        split = [[place.setdefault(w, len(place)) for w in _MARKED.findall(self.prefix + t.replace(" ", SPACE))] if t else [] for t in texts]
-        ids, size = self._encode_words(list(place))
+        split = [self._split(t) for t in texts]
+        place = dict.fromkeys(chain.from_iterable(split))
+        for i, w in enumerate(place):
+            place[w] = i
+        ids, size = self._encode_words([w if w[:1] == SPACE or not self.prefix else SPACE + w for w in place])
         start = np.cumsum(size) - size
         out = []
         for words in split:
-            w = np.array(words, np.int64)
+            w = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             out.append(ids[_ranges(start[w], size[w])])
         return out
 
+    def _split(self, text: str) -> list[str]:
+        """The marked words of a text; the marker is left out where each word has one and nothing else begins with it."""
+        if not text:
+            return []
+        if self.prefix and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return _MARKED.findall(self.prefix + text.replace(" ", SPACE))
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Pieces joined, markers as blanks; texts with other bytes than ASCII, control or unknown pieces go to the library."""
         out: list[str] = []
