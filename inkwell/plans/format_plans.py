@@ -76,6 +76,13 @@ def decode_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "kind", F.coalesce("error", F.lit("")).alias("error"), F.sha2(text, 256).alias("text_sha"))
 
 
+def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs and failures of each archive: the rows of its manifest."""
+    words = table(spark, sf_dir, "documents").filter("doc_id % 10 = 7").select("doc_id", F.array(F.col("source"), F.col("lang")).alias("words"))
+    out = decode_files(words.mapInArrow(_packed, "path string, content binary"))
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("error").isNotNull().cast("long")).alias("failed"), F.sum(F.length(F.array_join(F.transform("blocks", lambda b: b["text"]), "")).cast("long")).alias("chars"))
+
+
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
     return decode_files(pages).select(F.split("path", r"\.")[0].cast("long").alias("page_id"), document_markdown(F.col("blocks")).alias("markdown"))
@@ -152,6 +159,7 @@ QUERIES = {
         "SELECT CAST(doc_id AS VARCHAR) || '.' || k || CASE WHEN k = 'zip' THEN '/d/a.txt' ELSE '' END AS path, CASE WHEN k = 'zip' THEN 'txt' ELSE k END AS kind, CASE WHEN k = 'pdf' THEN 'needs_ocr' ELSE '' END AS error, sha256(CASE WHEN k = 'pdf' THEN '' ELSE t END) AS text_sha FROM d "
         "UNION ALL SELECT CAST(doc_id AS VARCHAR) || '.zip/b.docx', 'docx', 'malformed_document', sha256('') FROM d WHERE k = 'zip'",
     ),
+    "archive_summary": (archive_summary, "SELECT CAST(doc_id AS VARCHAR) || '.zip' AS source, CAST(2 AS BIGINT) AS n, CAST(1 AS BIGINT) AS failed, CAST(length(source || lang) + 1 AS BIGINT) AS chars FROM documents WHERE doc_id % 10 = 7"),
     "html_to_markdown": (html_to_markdown, None),
     "html_title_links_images": (html_title_links_images, "SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '(?i)<img\\s')) AS BIGINT) AS n_images, CAST(length(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g')) AS BIGINT) AS n_left FROM pages"),
     "csv_to_markdown": (csv_to_markdown, "SELECT CAST(n_regionkey AS VARCHAR) || '.csv' AS path, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' |', chr(10) ORDER BY CAST(n_nationkey AS VARCHAR) || ',' || n_name) AS markdown FROM nation GROUP BY n_regionkey"),

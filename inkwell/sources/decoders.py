@@ -577,8 +577,7 @@ def sniff(content: bytes, name: str = "") -> str:
         return "html"
     if re.match(rb"(?:from|to|subject|date|received|return-path|delivered-to|mime-version|message-id): |from \S+@\S+ ", low):
         return "eml"
-    ext = name.rpartition(".")[2].lower() if "." in name else ""
-    ext = {"htm": "html", "xhtml": "html", "wpsx": "docx", "dpsx": "pptx", "markdown": "md", "tgz": "gz", "et": "xls", "etx": "xlsx", "wps": "doc"}.get(ext, ext)
+    ext = kind_by_name(name)
     return ext if ext in DECODERS else "bin" if b"\0" in content[:64] else "txt"
 
 
@@ -587,11 +586,37 @@ DECODERS: dict[str, Callable[[bytes], list[Block]]] = {
     "xlsx": decode_xlsx, "pptx": decode_pptx, "odt": decode_odt, "ofd": decode_ofd, "eml": decode_eml,
     "xls": decode_xls, "doc": decode_doc, "msg": decode_msg, "pdf": decode_pdf,
 }
+ALIASES = {"htm": "html", "xhtml": "html", "wpsx": "docx", "dpsx": "pptx", "markdown": "md", "tgz": "gz", "et": "xls", "etx": "xlsx", "wps": "doc"}
 ARCHIVES = {"zip", "gz", "bz2", "xz", "tar"}
 #: Formats that need a program or library that isn't here; they give a typed error.
 EXTERNAL = {"chm": "unsupported_format", "ole": "unsupported_format", "ppt": "unsupported_format", "rar": "unsupported_format", "7z": "unsupported_format", "bin": "unsupported_format"}
 
 
+def toc(content: bytes) -> list[tuple[int, str, str]]:
+    """(depth, title, local path) of the entries of a help book's table of contents, in order."""
+    out: list[tuple[int, str, str]] = []
+    depth, title, local = 0, "", ""
+    for m in re.finditer(r"<(/?)(ul|object|param)\b([^>]*)>", text_of(content), re.I):
+        tag = m[2].lower()
+        if tag == "ul":
+            depth = max(0, depth + (-1 if m[1] else 1))
+        elif tag == "param":
+            at = {k.lower(): v for k, v in re.findall(r"""(\w+)\s*=\s*["']([^"']*)["']""", m[3])}
+            if at.get("name", "").lower() == "name":
+                title = at.get("value", "")
+            elif at.get("name", "").lower() == "local":
+                local = at.get("value", "").replace("\\", "/")
+        elif m[1] and (title or local):
+            out.append((depth, title, local))
+            title = local = ""
+    return out
+
+
+def kind_by_name(name: str) -> str:
+    ext = name.rpartition(".")[2].lower() if "." in name.rpartition("/")[2] else ""
+    return ALIASES.get(ext, ext)
+
+
 def decode(content: bytes, kind: str) -> list[Block]:
     if kind not in DECODERS:
         raise DecodeError(EXTERNAL.get(kind, "unsupported_format"), kind)
@@ -613,7 +638,14 @@ def decoded(content: bytes, name: str, depth: int = 0) -> Iterator[tuple[str, st
             for path, data in entries(content, kind, name.rpartition("/")[2]):
                 yield from decoded(data, f"{name}/{path}", depth + 1)
         else:
-            yield name, kind, decode(content, kind), "", ""
+            second = kind_by_name(name)
+            try:
+                blocks = decode(content, kind)
+            except DecodeError:
+                if second == kind or second not in DECODERS:
+                    raise
+                kind, blocks = second, decode(content, second)  # the name knows better
+            yield name, kind, blocks, "", ""
     except DecodeError as e:
         yield name, kind, [], e.code, str(e)
     except Exception as e:  # noqa: BLE001  a broken file is a row of the result

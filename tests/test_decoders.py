@@ -108,3 +108,14 @@ def test_any_bytes_give_a_row(data, name):
 @given(st.text(st.characters(codec="utf-8", exclude_categories=["Cc", "Cs", "Zl", "Zp", "Zs"]), min_size=1, max_size=40))
 def test_rtf_round_trip(text):
     assert [b.text for b in d.decode_rtf(pack("rtf", [text]))] == [text.strip()]
+
+
+def test_toc():
+    hhc = b"""<UL><LI><OBJECT type="text/sitemap"><param name="Name" value="One"><param name="Local" value="a\\b.htm"></OBJECT>
+    <UL><LI><OBJECT><param name="Name" value="Two"></OBJECT></UL></UL>"""
+    assert d.toc(hhc) == [(1, "One", "a/b.htm"), (2, "Two", "")]
+
+
+def test_second_candidate_by_name():
+    assert [(k, e) for _, k, _, e, _ in d.decoded(b"Subject", "a.txt")] == [("txt", "")]
+    assert [(k, e) for _, k, _, e, _ in d.decoded(b"%PDF-1.4 none", "a.txt")] == [("txt", "")]
