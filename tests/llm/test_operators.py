@@ -205,6 +205,20 @@ def test_op7_pages(spark, small):
     assert all("Home" not in t and f"& {p}" in t for p, _, t in got if p is not None and p < 8)
 
 
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<div class='header'>h</div><div id=content><p>a</p><div><p>b</div><div class='sidebar'>s</div></div><p>after", ["a", "b"]),
+        ("<main><h1>t</h1><div class='post-content'>x<div>y</div></div><section class='related-posts'><p>r</section></main>", ["x", "y"]),
+        ("<nav><a>open<article class=big><header><h2>T</h2></header>z<form><input>f</form><footer>by</footer></article>", ["T", "z"]),
+        ("<article>a<br/>b<!-- c --><table><tr><td>1<td>2</table></article><article class='comment'>no</article>", ["a b", "1", "2"]),
+        ("<article><p>x &lt;p&gt; &#233; &amp;amp;</p><div class='cookie-notice'>n</div><div hidden>h</div></article>", ["x <p> é &amp;"]),
+    ],
+)
+def test_op7_marked_articles(page, blocks):
+    assert html_text.blocks_of(page) == (blocks, True)
+
+
 def test_op8_equals_brute_force(spark, small, docs):
     grams = lambda t: [tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)]
     items = [(r.item_id, grams(r.text)) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
