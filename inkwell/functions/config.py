@@ -1,0 +1,57 @@
+"""Settings: nested dictionaries merged over defaults, read by path, checked, and shown without secrets."""
+
+from __future__ import annotations
+
+from copy import deepcopy
+from typing import Any
+
+SECRET = ("key", "token", "password", "secret")
+
+
+def merge(base: dict, over: dict) -> dict:
+    """base with the values of over, dictionaries merged; neither is changed."""
+    out = deepcopy(base)
+    for k, v in over.items():
+        out[k] = merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else deepcopy(v)
+    return out
+
+
+def get(settings: dict, path: str, default: Any = None) -> Any:
+    for part in path.split("."):
+        if not isinstance(settings, dict) or part not in settings:
+            return default
+        settings = settings[part]
+    return settings
+
+
+def put(settings: dict, path: str, value: Any) -> dict:
+    for part in reversed(path.split(".")):
+        value = {part: value}
+    return merge(settings, value)
+
+
+def wrong_types(defaults: dict, settings: dict, at: str = "") -> list[str]:
+    """Paths whose value has another type than the default; integers do for floats, and unknown sections are wrong."""
+    out = []
+    for k, v in settings.items():
+        path = f"{at}{k}"
+        if k not in defaults:
+            out.append(path)
+        elif isinstance(defaults[k], dict):
+            out += wrong_types(defaults[k], v, f"{path}.") if isinstance(v, dict) else [path]
+        elif defaults[k] is not None and not (isinstance(v, type(defaults[k])) and isinstance(v, bool) == isinstance(defaults[k], bool) or isinstance(defaults[k], float) and type(v) is int):
+            out.append(path)
+    return out
+
+
+def masked(settings: dict) -> dict:
+    """Secrets as their last four characters behind stars."""
+    out = {}
+    for k, v in settings.items():
+        if isinstance(v, dict):
+            out[k] = masked(v)
+        elif isinstance(v, str) and v and any(s in k.lower() for s in SECRET):
+            out[k] = "****" + (v[-4:] if len(v) > 8 else "")
+        else:
+            out[k] = v
+    return out

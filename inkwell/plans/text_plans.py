@@ -100,8 +100,8 @@ def unique_sibling_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def output_rel_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """txt and csv keep their extension before .md; other sources change theirs; .md stays."""
     name = F.concat(F.lit("d/n"), F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, [".txt", ".csv", ".md", ".docx", ".tar.gz"])), (F.col("page_id") % 5 + 1).cast("int")))
-    out = F.when(name.rlike(r"\.md$"), name).when(name.rlike(r"\.(txt|csv)$"), F.concat(name, F.lit(".md"))).otherwise(F.regexp_replace(name, r"(\.[^./]+)?$", ".md"))
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(out, r"(\.md)\.md$", "$1").alias("rel"))
+    out = F.when(name.rlike(r"\.md$"), name).when(name.rlike(r"\.(txt|csv)$"), F.concat(name, F.lit(".md"))).otherwise(F.concat(F.regexp_replace(name, r"\.[^./]+$", ""), F.lit(".md")))
+    return table(spark, sf_dir, "pages").select("page_id", out.alias("rel"))
 
 
 def content_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
