@@ -111,15 +111,21 @@ def forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]
     return found
 
 
-def cells(members: DataFrame, group: str, cell: int = CELL, cell_bytes: int = CELL_BYTES, bytes_of: str | None = None) -> DataFrame:
-    """members with i, j, mine: every two members of a group meet in one row (group, i, j), which holds a bounded part of it."""
-    total = F.sum(F.length(bytes_of)) if bytes_of else F.lit(0)
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), total.alias("_bytes")).withColumnRenamed(group, "_group")
-    joined = members.join(sizes, F.col(group) == F.col("_group")).filter("_n > 1").drop("_group")
+def dealt(members: DataFrame, group: str, cell: int = CELL, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """members (group, rid, size) of groups of two or more, with k, the cells of its group, and mine, its own cell.
+
+    Cells hold about `cell` members and `cell_bytes` of size. Do this before anything large is joined to the members.
+    """
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes")).withColumnRenamed(group, "_group")
+    joined = members.join(sizes.filter("_n > 1"), F.col(group) == F.col("_group"))
     k = F.greatest(F.ceil(F.col("_n") / cell), F.ceil(F.col("_bytes") / cell_bytes)).cast("int")
-    dealt = joined.withColumn("_k", k).withColumn("mine", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("_k")).cast("int"))
-    spread = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).withColumn("i", F.least("mine", "_x")).withColumn("j", F.greatest("mine", "_x"))
-    return spread.drop("_n", "_bytes", "_k", "_x")
+    return joined.withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("k")).cast("int")).drop("_group", "_n", "_bytes", "size")
+
+
+def meeting(members: DataFrame) -> DataFrame:
+    """Dealt members with i and j: every two of a group meet in one (group, i, j), which holds two cells."""
+    spread = members.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return spread.withColumn("i", F.least("mine", "_x")).withColumn("j", F.greatest("mine", "_x")).drop("_x", "k")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -182,8 +188,8 @@ def verifier(threshold: float = THRESHOLD, to_set: Callable[[str | None], np.nda
 
 
 def verified(members: DataFrame, group: str = "comp", threshold: float = THRESHOLD, to_set: Callable[[str | None], np.ndarray] = shingles) -> tuple[DataFrame, DataFrame]:
-    """(rid, texts, docs: counts of links) and (a, b: edges) of members (rid, weight, body) of candidate groups."""
-    meet = cells(members, group, bytes_of="body").groupBy(group, "i", "j").agg(F.collect_list(F.struct("mine", "rid", "weight", "body")).alias("members"))
+    """(rid, texts, docs: counts of links) and (a, b: edges) of dealt members (rid, weight, body, k, mine) of candidate groups."""
+    meet = meeting(members).groupBy(group, "i", "j").agg(F.collect_list(F.struct("mine", "rid", "weight", "body")).alias("members"))
     found = stash(meet.select("i", "j", "members").mapInArrow(*verifier(threshold, to_set)), "links")
     counts = found.filter("other IS NULL").groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     return counts, found.filter("other IS NOT NULL").select(F.col("rid").alias("a"), F.col("other").alias("b"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import row_of, stash, table
-from .near import THRESHOLD, band_keys, cells, components, forest, minhashes, shingles, verified
+from .near import THRESHOLD, band_keys, components, dealt, forest, meeting, minhashes, shingles, verified
 
 BANDS, ROWS = 32, 4
 STEP = 16
@@ -41,6 +41,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
             rids, bands, low = [], [], []
+            sizes = [len(t or "") for t in batch.column(1).to_pylist()]
             for text in batch.column(1).to_pylist():
                 items = shingles(text)
                 if len(items):
@@ -50,8 +51,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low.append((signature & 255).astype(np.uint8).tobytes())
                 else:
                     rids.append(None), bands.append(None), low.append(None)
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip((rids, bands, low), kinds, strict=True))], ["doc_id", "rid", "bands", "low"])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip((rids, bands, low, sizes), kinds, strict=True))], ["doc_id", "rid", "bands", "low", "size"])
 
 
 def cutoffs(threshold: float, tolerance: float = TOLERANCE, total: int = BANDS * ROWS, step: int = STEP) -> list[tuple[int, int]]:
@@ -100,20 +101,22 @@ def _pruned(threshold: float):
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of what hangs together by links), copy_id (least doc_id with the same shingles), n_links, n_linked_texts."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    signed = stash(own.mapInArrow(_signed, "doc_id long, rid long, bands array<long>, low binary"), "signed")
-    nodes = signed.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    signed = stash(own.mapInArrow(_signed, "doc_id long, rid long, bands array<long>, low binary, size long"), "signed")
+    nodes = signed.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
     nodes = stash(nodes, "nodes")
     # one row a node: copies have equal bands
     one = signed.filter("rid IS NOT NULL").dropDuplicates(["rid"])
     bands = one.select("rid", F.explode("bands").alias("band"))
     shared = bands.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1").select("rid", "band")
     lows = one.select(F.col("rid").alias("_rid"), "low")
+    shared = meeting(dealt(shared.withColumn("size", F.lit(0)), "band", cell=BUCKET_CELL))
     buckets = shared.join(lows, F.col("rid") == F.col("_rid")).drop("_rid")
-    meet = cells(buckets, "band", cell=BUCKET_CELL).groupBy("band", "i", "j").agg(F.collect_list(F.struct("mine", "rid", "low")).alias("members"))
+    meet = buckets.groupBy("band", "i", "j").agg(F.collect_list(F.struct("mine", "rid", "low")).alias("members"))
     groups = components(meet.select("i", "j", "members").mapInArrow(*_pruned(threshold)))
 
-    asked = groups.join(nodes, F.col("node") == F.col("rid")).select("rid", "comp", F.col("copies").alias("weight"), F.col("first").alias("_first"))
-    members = own.join(asked, F.col("doc_id") == F.col("_first")).select("comp", "rid", "weight", F.col("text").alias("body"))
+    asked = groups.join(nodes, F.col("node") == F.col("rid")).select("rid", "comp", F.col("copies").alias("weight"), F.col("first").alias("_first"), "size")
+    asked = dealt(asked, "comp")
+    members = own.join(asked, F.col("doc_id") == F.col("_first")).select("comp", "rid", "weight", F.col("text").alias("body"), "k", "mine")
     counts, edges = verified(_own_text(members), threshold=threshold)
     classes = components(edges)
     ids = nodes.join(classes.withColumnRenamed("node", "_node"), F.col("rid") == F.col("_node"), "left")

@@ -278,3 +278,19 @@ def test_components_of_a_path_and_a_star(spark):
 
 def test_digest_of_removed_text():
     assert suffix_dedup.brute_force([None])[0] == (0, 0, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_cells_let_every_pair_meet_once(spark):
+    """Links counted over cells of three members equal those of one group."""
+    from pyspark.sql import functions as F
+
+    from inkwell.llm.near import dealt, verified
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(0, 40, 3)] + [" ".join(words)] * 1
+    members = spark.createDataFrame([(1, i, 1, t, len(t)) for i, t in enumerate(texts)], "comp long, rid long, weight long, body string, size long")
+    small = dealt(members, "comp", cell=3)
+    assert small.agg(F.max("k")).first()[0] > 1
+    got = {r.rid: r.texts for r in verified(small)[0].collect()}
+    links = collections.Counter(x for p in near_pairs([shingle_set(t) for t in texts]) for x in p)
+    assert got == dict(links)
