@@ -56,6 +56,7 @@ SELECT o_orderkey AS doc_id, concat(
   CASE WHEN o_orderkey % 9 = 0 THEN concat('tail   ', chr(10), chr(10), chr(10), chr(10), chr(10), chr(10), chr(7), '�') ELSE '' END,
   o_orderpriority, ' 1. text ', CASE WHEN o_orderkey % 11 = 0 THEN repeat('*', 60) ELSE 'of the order' END) AS text FROM orders
 """
+SCRAPS = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ab' WHEN 2 THEN concat(repeat(chr(7), 20), repeat(concat('[x](', chr(10), '-b', chr(10)), 20), repeat('<i>', 9)) ELSE o_orderpriority END AS text FROM orders"
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,9 @@ def quality_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_low_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).filter("score < 50").select("doc_id", "source", "score")
+    """Files that score below 50: here empty ones, scraps, debris, and short texts."""
+    made = spark.sql(SCRAPS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return with_quality(made).filter("score < 50").select("doc_id", "score", "warnings")
 
 
 _ROLLUP = SCORED + " SELECT {by}, count(*) AS n, CAST(sum(CAST(10 * score AS DECIMAL(12, 0))) AS BIGINT) AS tenths, min(score) AS min_score, max(score) AS max_score, CAST(sum(CASE WHEN score < 50 THEN 1 ELSE 0 END) AS BIGINT) AS n_low FROM scored GROUP BY {by}"
@@ -105,5 +108,5 @@ QUERIES = {
     "quality_rollup_by_lang": (lambda s, d: quality_rollup(s, d, "lang"), _ROLLUP.replace("{by}", "lang")),
     "quality_rollup_by_source": (lambda s, d: quality_rollup(s, d, "source"), _ROLLUP.replace("{by}", "source")),
     "quality_upper_median_by_source": (quality_upper_median, SCORED + " SELECT source, list_sort(list(score))[count(*) // 2 + 1] AS median_score FROM scored GROUP BY source"),
-    "quality_low_files": (quality_low_files, SCORED + " SELECT doc_id, source, score FROM scored WHERE score < 50"),
+    "quality_low_files": (quality_low_files, f"WITH src AS ({SCRAPS}), {_SCORED} SELECT doc_id, score, warnings FROM scored WHERE score < 50"),
 }
