@@ -123,14 +123,15 @@ def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = S
     """The documents that the rules keep, without the lines above the limits; columns as in docs."""
     base = base_columns(docs, row=True)
     gone = removed_lines(docs, min_docs, share).select(F.col("_host").alias("_of"), F.col("_key").alias("_text"), "_often", "_gone")
-    joined = base.filter(~F.col("base_failed")).join(gone, (F.col("_key") == F.col("_text")) & F.col("_host").eqNullSafe(F.col("_of")), "left")
+    joined = base.join(gone, (F.col("_key") == F.col("_text")) & F.col("_host").eqNullSafe(F.col("_of")), "left")
     left = F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0).cast("long"))
     text = F.col("_row.text")
     rest = F.filter(
         F.split(text, "\n", -1), lambda x: (F.translate(x, SPACES, "") == "") | ~F.array_contains(F.col("_often"), F.xxhash64(_normal(x)))
     )
     cleaned = F.when(F.col("_often").isNull(), text).otherwise(F.array_join(rest, "\n"))
-    kept = joined.filter(left >= F.lit(min_left) * F.col("n_words"))
+    # one condition on both sides: a filter on base_failed alone would be pushed below, where its counts are made again
+    kept = joined.filter(F.when(F.col("base_failed"), False).otherwise(left >= F.lit(min_left) * F.col("n_words")))
     return kept.select(*with_text(F.col("_row"), docs.columns, cleaned))
 
 
