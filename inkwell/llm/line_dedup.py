@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, row_of, table, with_text
+from .common import row_key, row_of, table, tidy, with_text
 
 WINDOW = 2
 MEAN_LINES = 3
@@ -64,7 +64,7 @@ def _hashed(mean_lines: int):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return run, "_key binary, doc_id long, at int, h binary"
+    return tidy(run), "_key binary, doc_id long, at int, h binary"
 
 
 def _digest(chunk: str) -> bytes:
@@ -88,7 +88,7 @@ def _fetched(mean_lines: int):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return run, "_key binary, at int, h binary, n long, is_first boolean, chunk string"
+    return tidy(run), "_key binary, at int, h binary, n long, is_first boolean, chunk string"
 
 
 def removed_chunks(docs: DataFrame, rows: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
@@ -136,7 +136,7 @@ def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     gone = removed_chunks(docs, rows, mean_lines)
     joined = rows.join(gone, F.col("_key") == F.col("_of"), "left").select("_row", "gone")
     kind = T.StructType([rows.schema["_row"], T.StructField("_kept", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    return joined.mapInArrow(_rebuilt(mean_lines), kind)
+    return joined.mapInArrow(tidy(_rebuilt(mean_lines)), kind)
 
 
 def filter_documents(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -21,7 +21,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -30,6 +30,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget() -> None:
+    """Drops the memo of word hashes."""
+    _hashes.clear()
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of runs of `size` words; of a shorter text, one hash of all its words; of no word, none."""
     words = (text or "").split()
@@ -184,7 +189,7 @@ def verifier(threshold: float = THRESHOLD, to_set: Callable[[str | None], np.nda
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rid", "other", "texts", "docs"])
 
-    return run, "rid long, other long, texts long, docs long"
+    return tidy(run, forget), "rid long, other long, texts long, docs long"
 
 
 def verified(members: DataFrame, group: str = "comp", threshold: float = THRESHOLD, to_set: Callable[[str | None], np.ndarray] = shingles) -> tuple[DataFrame, DataFrame]:

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_of, stash, table
-from .near import THRESHOLD, band_keys, components, dealt, forest, meeting, minhashes, shingles, verified
+from .common import row_of, stash, table, tidy
+from .near import THRESHOLD, band_keys, components, dealt, forest, forget, meeting, minhashes, shingles, verified
 
 BANDS, ROWS = 32, 4
 STEP = 16
@@ -101,7 +101,7 @@ def _pruned(threshold: float):
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of what hangs together by links), copy_id (least doc_id with the same shingles), n_links, n_linked_texts."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    signed = stash(own.mapInArrow(_signed, "doc_id long, rid long, bands array<long>, low binary, size long"), "signed")
+    signed = stash(own.mapInArrow(tidy(_signed, forget), "doc_id long, rid long, bands array<long>, low binary, size long"), "signed")
     nodes = signed.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
     nodes = stash(nodes, "nodes")
     # one row a node: copies have equal bands
@@ -140,7 +140,7 @@ def _own_text(members: DataFrame) -> DataFrame:
             same = [xxhash.xxh64_intdigest(shingles(t).tobytes()) - (1 << 63) == r for r, t in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    return members.mapInArrow(run, members.schema)
+    return members.mapInArrow(tidy(run, forget), members.schema)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .common import table
+from .common import table, tidy
 
 SPACE = "▁"
 MODEL = os.environ.get("INKWELL_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -208,7 +208,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def _parts(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, chars: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Slices with about so many characters of text, in column 1."""
     at, size = 0, 0
     for i, t in enumerate(batch.column(1).to_pylist()):
@@ -230,6 +230,10 @@ def _loaded(name: str) -> Codec:
         return Codec(f.read())
 
 
+def _forget() -> None:
+    _loaded.cache_clear()
+
+
 def encode_texts(name: str, texts: list[str]) -> list[np.ndarray]:
     return _loaded(name).encode(texts)
 
@@ -256,7 +260,7 @@ def _digests(name: str):
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), list(fields.values())[1:], strict=True))], list(fields))
 
-    return run
+    return tidy(run, _forget)
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -269,7 +273,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ids = encode_texts(model, [t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, _forget), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -283,7 +287,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
                 texts = decode_ids(model, [i or [] for i in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, _forget), "doc_id long, text string")
 
 
 def _ship(spark: SparkSession, model: str) -> None:
