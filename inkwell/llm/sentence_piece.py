@@ -16,7 +16,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -125,11 +125,11 @@ def build_tokenizer(model: dict) -> Tokenizer:
 class Codec:
     """A model's tokenizer, and the sentencepiece library's processor for the same file.
 
-    Where no piece goes on over a metaspace marker, each marked word has the same ids in any text; the distinct
-    words of a batch are then encoded once, many to a string. Other models encode whole texts.
+    Where no piece goes on over a metaspace marker, each marked word has the same ids in any text; distinct
+    words are then encoded once, many to a string, and remembered up to a bound. Other models encode whole texts.
     """
 
-    TOGETHER = 1000
+    TOGETHER, MEMO = 1000, 300_000
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -142,6 +142,7 @@ class Codec:
         self.marked = np.array([p.startswith(SPACE) for p, _, _ in model["pieces"]])  # of a word's pieces only the first is
         ascii_byte = {f"<0x{b:02X}>": chr(b) for b in range(128)}
         self.plain = [p if kind in (NORMAL, USER) else ascii_byte.get(p) if kind == BYTE else None for p, _, kind in model["pieces"]]
+        self._empty_memo()
         if self.by_word:
             self.words = Tokenizer.from_str(self.tokenizer.to_str())
             self.words.normalizer = normalizers.Sequence([])
@@ -170,18 +171,29 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids if t else [], np.int32) for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
+        if len(self.place) > self.MEMO:
+            self._empty_memo()
         split = [self._split(t) for t in texts]
-        place = dict.fromkeys(chain.from_iterable(split))
-        for i, w in enumerate(place):
-            place[w] = i
-        ids, size = self._encode_words([w if w[:1] == SPACE or not self.prefix else SPACE + w for w in place])
-        start = np.cumsum(size) - size
+        known = len(self.place)
+        for w in dict.fromkeys(chain.from_iterable(split)):
+            if w not in self.place:
+                self.place[w] = len(self.place)
+        if len(self.place) > known:
+            ids, size = self._encode_words([w if w[:1] == SPACE or not self.prefix else SPACE + w for w in islice(self.place, known, None)])
+            self.start = np.concatenate([self.start, np.cumsum(size) - size + len(self.ids)])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, ids])
         out = []
         for words in split:
-            w = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            out.append(ids[_ranges(start[w], size[w])])
+            w = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            out.append(self.ids[_ranges(self.start[w], self.size[w])])
         return out
 
+    def _empty_memo(self) -> None:
+        """Words of the batches so far: their place, and at each place where their ids start and how many they are."""
+        self.place: dict[str, int] = {}
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
     def _split(self, text: str) -> list[str]:
         """The marked words of a text; the marker is left out where each word has one and nothing else begins with it."""
         if not text:
@@ -208,7 +220,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def _parts(batch: pa.RecordBatch, chars: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices with about so many characters of text, in column 1."""
     at, size = 0, 0
     for i, t in enumerate(batch.column(1).to_pylist()):
@@ -252,10 +264,10 @@ def _digests(name: str):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = encode_texts(name, texts)
                 back = decode_ids(name, [i.tolist() for i in ids])
-                same = own.encode(texts, num_threads=1)
+                same = own.encode(texts, num_threads=1, return_type="numpy")
                 normal = own.normalize(texts)
                 rows = [
-                    (len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), b == n.replace(SPACE, " ").removeprefix(" "), np.array_equal(i, np.array(s, np.int32)))
+                    (len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), b == n.replace(SPACE, " ").removeprefix(" "), np.array_equal(i, s))
                     for i, b, n, s in zip(ids, back, normal, same, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), list(fields.values())[1:], strict=True))], list(fields))
