@@ -20,6 +20,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -129,7 +130,7 @@ class Codec:
     words are then encoded once, many to a string, and remembered up to a bound. Other models encode whole texts.
     """
 
-    TOGETHER, MEMO = 1000, 300_000
+    TOGETHER, MEMO = 1000, 150_000
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -143,9 +144,8 @@ class Codec:
         ascii_byte = {f"<0x{b:02X}>": chr(b) for b in range(128)}
         self.plain = [p if kind in (NORMAL, USER) else ascii_byte.get(p) if kind == BYTE else None for p, _, kind in model["pieces"]]
         self._empty_memo()
-        if self.by_word:
-            self.words = Tokenizer.from_str(self.tokenizer.to_str())
-            self.words.normalizer = normalizers.Sequence([])
+        if self.by_word:  # words come with their markers
+            self.tokenizer.normalizer = normalizers.Sequence([])
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words on end, and how many each has."""
@@ -153,7 +153,7 @@ class Codec:
         apart = set(alone)
         rest = [i for i in range(len(words)) if i not in apart]
         groups = [[i] for i in alone] + [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
-        for group, e in zip(groups, self.words.encode_batch_fast(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int32)
             first = np.flatnonzero(self.marked[ids]) if len(group) > 1 else np.zeros(1, np.int64)
             if len(first) != len(group) or len(ids) and first[0]:
@@ -220,16 +220,15 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def _parts(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices with about so many characters of text, in column 1."""
-    at, size = 0, 0
-    for i, t in enumerate(batch.column(1).to_pylist()):
-        size += len(t or "")
-        if size >= chars:
-            yield batch.slice(at, i + 1 - at)
-            at, size = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
+def _parts(batch: pa.RecordBatch, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices with about so many bytes of text, in column 1."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 _MARKED = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
