@@ -1,8 +1,8 @@
 """Operator 8: documents that hold benchmark items, by SimHash of item-sized windows.
 
 Native: DataFrame functions only. A window is as many words as some item has; windows that share no 5-gram with an
-item of their size can't be similar to it, so those that line up with a shared 5-gram are taken. Their 64-bit
-SimHash is cut into RADIUS + 1 blocks: two fingerprints within RADIUS agree in a block at least, so that the join
+item of their size can't be similar to it, so those that line up with a shared 5-gram are taken, moved to the
+text's edge where they would begin before it or end behind it. Their 64-bit SimHash is cut into RADIUS + 1 blocks: two fingerprints within RADIUS agree in a block at least, so that the join
 on (size, block, value) finds all of them. Pairs within RADIUS are verified by the exact weighted Jaccard
 similarity of their 5-grams (weight: how often one occurs). At a similarity of 0.8 the distance of fingerprints
 exceeds RADIUS with probability 4e-4.
@@ -68,6 +68,11 @@ def _similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _window(grams: Column, w: Column) -> Column:
+    start = F.least(w["start"], F.size(grams) - w["n"])
+    return F.struct(start.alias("start"), w["n"].alias("n"), F.slice(grams, start + 1, w["n"]).alias("grams"))
+
+
 def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SEND_ROWS else df
 
@@ -81,10 +86,11 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = keyed.select("_key", F.posexplode(_hashes(F.col("text"))).alias("p", "_h"))
     seen = hashed.join(_sent(places, n_places), F.col("_h") == F.col("h"))
-    windows = seen.select("_key", (F.col("p") - F.col("q")).alias("start"), "n").filter("start >= 0").distinct()
+    # a window that begins before the text or ends behind it is moved to the edge: the item's own edge may be cut off there
+    windows = seen.select("_key", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "n").distinct()
     windows = windows.groupBy("_key").agg(F.collect_list(F.struct("start", "n")).alias("windows")).withColumnRenamed("_key", "_of")
     found = keyed.join(windows, F.col("_key") == F.col("_of"))
-    cut = let(_hashes(F.col("text")), lambda g: F.transform(F.filter("windows", lambda w: w["start"] + w["n"] <= F.size(g)), lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice(g, w["start"] + 1, w["n"]).alias("grams"))))
+    cut = let(_hashes(F.col("text")), lambda g: F.transform(F.filter("windows", lambda w: w["n"] <= F.size(g)), lambda w: _window(g, w)))
     cut = found.select("_key", "doc_id", F.explode(cut).alias("w")).select("_key", "doc_id", "w.start", "w.n", "w.grams").dropDuplicates(["_key", "start", "n"])
     marked = cut.withColumn("mark", simhash(F.col("grams"))).withColumn("b", F.explode(_blocks(F.col("mark"), radius)))
     blocks = own.select("item_id", F.col("n").alias("_n"), F.col("grams").alias("_grams"), F.col("mark").alias("_mark"), F.explode(_blocks(F.col("mark"), radius)).alias("_b"))
