@@ -1,8 +1,8 @@
 """Operator 4: quality rules over a text's own words and over the lines that a host's documents share.
 
 Native: DataFrame functions only. A line is normalised (lower case, digits as 0, one space between words) and
-hashed with its host; a line that more than `max(min_docs, share * documents of the host)` different texts of
-that host hold is removed, and a document with less than `min_left` of its words left is rejected.
+hashed with its host; a line that more than `min_docs` different texts of that host hold is removed, however many
+texts the host has, and a document with less than `min_left` of its words left is rejected.
 
 Defined results: null text counts as empty; a null source is a host of its own; copies of a text on a host
 count as one document, so that a group of copies does not turn its own lines into boilerplate; repeated rows get
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import let, row_of, stash, table, text_key, with_text, words_of
 
-MIN_DOCS = 20
-SHARE = 0.15
+MIN_DOCS = 10
 MIN_LEFT = 0.3
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: Frequent lines up to which they are sent to all executors (about 60 bytes each); beyond, the join shuffles over SALTS keys a line.
+SEND_ROWS = 200_000
+SALTS = 32
 
 
 def _lines(text: Column) -> Column:
@@ -75,8 +77,8 @@ def base_columns(docs: DataFrame, row: bool = False) -> DataFrame:
     return read.select("doc_id", *(["_row"] if row else []), "_host", "_key", *facts_of)
 
 
-def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """_host, _key and, for texts with lines above the limits, their hashes and the words in them."""
+def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """_host, _key and, for texts with lines above the limit, their hashes and the words in them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = F.transform(
         _lines(text), lambda x: let(_normal(x), lambda n: F.struct(F.xxhash64(n).alias("line"), F.size(F.split(n, " ")).alias("words")))
@@ -87,22 +89,26 @@ def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHAR
         .groupBy("_host", "_key", "line")
         .agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("n")),
         "lines",
-    )  # read twice: for the counts, and for the lines above the limits
-    texts = docs.select(F.col("source").alias("_of"), text_key(text).alias("_text")).groupBy("_of", "_text").agg(F.count(F.lit(1)).alias("copies"))
-    hosts = texts.groupBy("_of").agg(F.count(F.lit(1)).alias("host_docs"))
+    )  # read twice: for the counts, and for the lines above the limit
     often = by_text.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    often = often.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).filter(F.col("n_docs") > F.lit(share) * F.col("host_docs"))
-    often = often.select(F.col("_host").alias("_of"), F.col("line").alias("_line"))
-    hit = by_text.join(often, (F.col("line") == F.col("_line")) & F.col("_host").eqNullSafe(F.col("_of"))).drop("_of")
+    often = stash(often.select(F.col("_host").alias("_of"), F.col("line").alias("_line")), "often")
+    same = (F.col("line") == F.col("_line")) & F.col("_host").eqNullSafe(F.col("_of"))
+    if often.count() <= SEND_ROWS:
+        hit = by_text.join(F.broadcast(often), same).drop("_of")
+    else:  # a line of a third of all texts is dealt to SALTS tasks
+        salted = often.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = by_text.withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+        hit = dealt.join(salted, same & (F.col("salt") == F.col("_salt"))).drop("_of", "salt", "_salt")
     gone = hit.groupBy("_host", "_key").agg(F.collect_list("line").alias("_often"), F.sum(F.col("words") * F.col("n")).alias("_all"))
     # copies of a text have put each of its lines there as often
+    texts = docs.select(F.col("source").alias("_of"), text_key(text).alias("_text")).groupBy("_of", "_text").agg(F.count(F.lit(1)).alias("copies"))
     gone = gone.join(texts, (F.col("_key") == F.col("_text")) & F.col("_host").eqNullSafe(F.col("_of")))
     return gone.select("_host", "_key", "_often", F.expr("_all div copies").alias("_gone"))
 
 
-def score_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def score_documents(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     base = base_columns(docs)
-    gone = removed_lines(docs, min_docs, share).select(F.col("_host").alias("_of"), F.col("_key").alias("_text"), F.col("_gone"))
+    gone = removed_lines(docs, min_docs).select(F.col("_host").alias("_of"), F.col("_key").alias("_text"), F.col("_gone"))
     joined = base.join(gone, (F.col("_key") == F.col("_text")) & F.col("_host").eqNullSafe(F.col("_of")), "left")
     n_often = F.coalesce(F.col("_gone"), F.lit(0).cast("long"))
     depleted = F.col("n_words") - n_often < F.lit(min_left) * F.col("n_words")
@@ -119,10 +125,10 @@ def score_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SH
     )
 
 
-def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that the rules keep, without the lines above the limits; columns as in docs."""
     base = base_columns(docs, row=True)
-    gone = removed_lines(docs, min_docs, share).select(F.col("_host").alias("_of"), F.col("_key").alias("_text"), "_often", "_gone")
+    gone = removed_lines(docs, min_docs).select(F.col("_host").alias("_of"), F.col("_key").alias("_text"), "_often", "_gone")
     joined = base.join(gone, (F.col("_key") == F.col("_text")) & F.col("_host").eqNullSafe(F.col("_of")), "left")
     left = F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0).cast("long"))
     text = F.col("_row.text")
@@ -150,7 +156,7 @@ ln AS (SELECT rid, source, text, line, regexp_replace(trim(regexp_replace(lower(
        FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY rid),
 often AS (SELECT source, norm FROM ln GROUP BY source, norm
-          HAVING count(DISTINCT text) > {MIN_DOCS} AND count(DISTINCT text) > {SHARE} * (SELECT count(DISTINCT text) FROM d WHERE d.source IS NOT DISTINCT FROM ln.source)),
+          HAVING count(DISTINCT text) > {MIN_DOCS}),
 gone AS (SELECT rid, sum(len(string_split(norm, ' '))) AS n FROM ln WHERE EXISTS (SELECT 1 FROM often o WHERE o.norm = ln.norm AND o.source IS NOT DISTINCT FROM ln.source) GROUP BY rid),
 base AS (SELECT d.rid, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,

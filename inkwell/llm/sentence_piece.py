@@ -27,6 +27,8 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 
 from .common import table, tidy
 
+#: Threads of the tokenizers library in a worker, which has a core of its own; idle ones would burn time and hold memory.
+os.environ.setdefault("RAYON_NUM_THREADS", "2")
 SPACE = "▁"
 MODEL = os.environ.get("INKWELL_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Fixed values of the model format: model types and piece types.
@@ -128,6 +130,7 @@ class Codec:
 
     Where no piece goes on over a metaspace marker, each marked word has the same ids in any text; distinct
     words are then encoded once, many to a string, and remembered up to a bound. Other models encode whole texts.
+    A word stands without its marker where its text has one before each word and no other.
     """
 
     TOGETHER, MEMO = 1000, 150_000
@@ -173,21 +176,36 @@ class Codec:
             return [np.array(e.ids if t else [], np.int32) for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
         if len(self.place) > self.MEMO:
             self._empty_memo()
-        split = [self._split(t) for t in texts]
-        known = len(self.place)
-        for w in dict.fromkeys(chain.from_iterable(split)):
-            if w not in self.place:
-                self.place[w] = len(self.place)
-        if len(self.place) > known:
-            ids, size = self._encode_words([w if w[:1] == SPACE or not self.prefix else SPACE + w for w in islice(self.place, known, None)])
+        offsets, words = self._split_all(texts)
+        kinds = words.dictionary_encode()
+        distinct = kinds.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            ids, size = self._encode_words([w if w[:1] == SPACE or not self.prefix else SPACE + w for w in new])
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.start = np.concatenate([self.start, np.cumsum(size) - size + len(self.ids)])
             self.size = np.concatenate([self.size, size])
             self.ids = np.concatenate([self.ids, ids])
-        out = []
-        for words in split:
-            w = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            out.append(self.ids[_ranges(self.start[w], self.size[w])])
-        return out
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[kinds.indices.to_numpy()]
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])[offsets]
+        return np.split(self.ids[_ranges(self.start[at], size)], ends[1:-1]) if texts else []
+
+    def _split_all(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+        """Where each text's words start, and the words of all texts. Arrow splits the plain ones, without Python objects."""
+        plain = [bool(self.prefix) and bool(t) and "  " not in t and SPACE not in t and t[0] != " " and t[-1] != " " for t in texts]
+        parts = pc.split_pattern(pa.array([t if p else None for t, p in zip(texts, plain, strict=True)], pa.string()), " ")
+        counts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = parts.flatten()
+        rest = {i: w for i, p in enumerate(plain) if not p and (w := self._split(texts[i]))}
+        if rest:
+            ends = np.cumsum(counts)
+            pieces, done = [], 0
+            for i, w in rest.items():
+                pieces += [words.slice(done, ends[i] - done), pa.array(w, pa.string())]
+                done, counts[i] = ends[i], len(w)
+            words = pa.concat_arrays([*pieces, words.slice(done)])
+        return np.concatenate([[0], np.cumsum(counts)]), words
 
     def _empty_memo(self) -> None:
         """Words of the batches so far: their place, and at each place where their ids start and how many they are."""
@@ -195,12 +213,8 @@ class Codec:
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _split(self, text: str) -> list[str]:
-        """The marked words of a text; the marker is left out where each word has one and nothing else begins with it."""
-        if not text:
-            return []
-        if self.prefix and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
-        return _MARKED.findall(self.prefix + text.replace(" ", SPACE))
+        """The words of a text with their markers."""
+        return _MARKED.findall(self.prefix + text.replace(" ", SPACE)) if text else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Pieces joined, markers as blanks; texts with other bytes than ASCII, control or unknown pieces go to the library."""
@@ -220,7 +234,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def _parts(batch: pa.RecordBatch, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Slices with about so many bytes of text, in column 1."""
     total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -253,9 +267,11 @@ def decode_ids(name: str, ids: list[list[int]]) -> list[str]:
     return _loaded(name).decode(ids)
 
 
-def _digests(name: str):
-    fields = {"doc_id": pa.int64(), "n_ids": pa.int64(), "ids_sha256": pa.string(), "round_trip": pa.bool_(), "parity": pa.bool_()}
+_FACTS = {"n_ids": pa.int64(), "ids_sha256": pa.string(), "round_trip": pa.bool_(), "parity": pa.bool_()}
+_FACTS_SQL = "n_ids long, ids_sha256 string, round_trip boolean, parity boolean"
+
 
+def _digests(name: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _loaded(name).own
         for whole in batches:
@@ -269,11 +285,19 @@ def _digests(name: str):
                     (len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), b == n.replace(SPACE, " ").removeprefix(" "), np.array_equal(i, s))
                     for i, b, n, s in zip(ids, back, normal, same, strict=True)
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), list(fields.values())[1:], strict=True))], list(fields))
+                columns = [batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FACTS.values(), strict=True))]
+                if with_ids:
+                    columns.append(_lists(ids))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_FACTS, *["ids"] * with_ids])
 
     return tidy(run, _forget)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and ids (array of int)."""
     _ship(docs.sparkSession, model)
@@ -282,7 +306,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for whole in batches:
             for batch in _parts(whole):
                 ids = encode_texts(model, [t or "" for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _lists(ids)], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run, _forget), "doc_id long, ids array<int>")
 
@@ -307,8 +331,15 @@ def _ship(spark: SparkSession, model: str) -> None:
 
 
 def digest_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, n_ids, ids_sha256, round_trip (decodes to its normalised form) and parity (the library has the same ids)."""
+    _ship(docs.sparkSession, model)
+    return docs.select("doc_id", "text").mapInArrow(_digests(model, False), f"doc_id long, {_FACTS_SQL}")
+
+
+def encode_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """The columns of digest_documents, and the ids."""
     _ship(docs.sparkSession, model)
-    return docs.select("doc_id", "text").mapInArrow(_digests(model), "doc_id long, n_ids long, ids_sha256 string, round_trip boolean, parity boolean")
+    return docs.select("doc_id", "text").mapInArrow(_digests(model, True), f"doc_id long, {_FACTS_SQL}, ids array<int>")
 
 
 def op6_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:

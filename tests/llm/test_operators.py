@@ -146,7 +146,7 @@ def test_op4_removes_frequent_lines(spark, small):
     from inkwell.llm import quality_rules as q
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    kept = q.filter_documents(docs, min_docs=5, share=0.1)
+    kept = q.filter_documents(docs, min_docs=5)
     assert kept.columns == docs.columns
     mine = [r.text for r in kept.filter("doc_id between 300 and 311").collect()]
     assert all(t.count("\n") == 1 for t in mine)
@@ -294,3 +294,37 @@ def test_cells_let_every_pair_meet_once(spark):
     got = {r.rid: r.texts for r in verified(small)[0].collect()}
     links = collections.Counter(x for p in near_pairs([shingle_set(t) for t in texts]) for x in p)
     assert got == dict(links)
+
+
+def test_op4_removes_lines_of_a_host_of_any_size(spark, monkeypatch):
+    """A line of more than MIN_DOCS texts goes on a small and on a large host, by either join; a document of such lines is rejected."""
+    from inkwell.llm import quality_rules as q
+
+    line = "read more about our terms of use on the page of terms and conditions that you have agreed to"
+    rows = [(1000 * h + i, f"{line}\n" + " ".join(f"w{h}x{i}x{k}" for k in range(60)), f"h{h}") for h, n in ((0, 12), (1, 400), (2, 10)) for i in range(n)]
+    rows += [(9, "\n".join([line] * 4 + ["and a tail"]), "h1"), (8, f"{line}\n" + " ".join(f"z{k}" for k in range(60)), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for limit in (q.SEND_ROWS, 0):
+        monkeypatch.setattr(q, "SEND_ROWS", limit)
+        got = {r["doc_id"]: r for r in q.score_documents(frame).collect()}
+        assert {d // 1000 for d, r in got.items() if r["n_frequent_words"]} == {0, 1} and not got[8]["n_frequent_words"]
+        assert sum(1 for r in got.values() if r["n_frequent_words"]) == 12 + 401 and not got[9]["kept"]
+        left = {r.doc_id: r.text for r in q.filter_documents(frame).collect()}
+        assert line not in left[1] and line not in left[1001] and line in left[2001] and 9 not in left
+
+
+def test_op4_limits_fire_on_the_given_tables(spark):
+    """Lines above the limit are there in the tables of tests, so that the comparison with SQL covers the method."""
+    from inkwell.llm import quality_rules as q
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert q.op4_quality_rules(spark, "/root/testdata/sf0.01").filter("n_frequent_words > 0").count() >= 10
+    before, after = (x.selectExpr("sum(length(text))").first()[0] for x in (docs.join(q.filter_documents(docs).select("doc_id"), "doc_id", "left_semi"), q.filter_documents(docs)))
+    assert after < before
+
+
+def test_op6_checked_ids(spark, small, docs):
+    got = rows(sentence_piece.encode_checked(spark.read.parquet(f"{small}/documents.parquet")))
+    want = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in rows(sentence_piece.encode_documents(spark.read.parquet(f"{small}/documents.parquet"))))
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
+    assert all(r["n_ids"] == len(r["ids"]) and r["parity"] for r in got)
