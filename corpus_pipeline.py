@@ -2,7 +2,11 @@
 
 Quality rules drop documents and boilerplate lines; line dedup removes chunks that occur again; the n-gram join
 leaves one document of each class of near copies; decontamination drops documents that hold benchmark items; the
-last stage encodes what is left, and returns ids and their digests instead of the columns of documents.
+last stage encodes what is left, and returns the ids and their digests instead of the columns of documents.
+
+Defined results: null texts count as empty, and are rejected by the first stage as too short; copies and near copies
+of a document leave the one with the least doc_id, and of rows that are alike one; a document whose chunks all occur
+earlier goes on with an empty text; empty tables give an empty result; further columns are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentence_piece.digest_documents(docs)
+    return sentence_piece.encode_checked(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
