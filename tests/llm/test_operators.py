@@ -302,15 +302,15 @@ def test_op4_removes_lines_of_a_host_of_any_size(spark, monkeypatch):
 
     line = "read more about our terms of use on the page of terms and conditions that you have agreed to"
     rows = [(1000 * h + i, f"{line}\n" + " ".join(f"w{h}x{i}x{k}" for k in range(60)), f"h{h}") for h, n in ((0, 12), (1, 400), (2, 10)) for i in range(n)]
-    rows += [(9, "\n".join([line] * 4 + ["and a tail"]), "h1"), (8, f"{line}\n" + " ".join(f"z{k}" for k in range(60)), None)]
+    rows += [(1990, "\n".join([line] * 4 + ["and a tail"]), "h1"), (2990, f"{line}\n" + " ".join(f"z{k}" for k in range(60)), None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for limit in (q.SEND_ROWS, 0):
         monkeypatch.setattr(q, "SEND_ROWS", limit)
         got = {r["doc_id"]: r for r in q.score_documents(frame).collect()}
-        assert {d // 1000 for d, r in got.items() if r["n_frequent_words"]} == {0, 1} and not got[8]["n_frequent_words"]
-        assert sum(1 for r in got.values() if r["n_frequent_words"]) == 12 + 401 and not got[9]["kept"]
+        assert {d // 1000 for d, r in got.items() if r["n_frequent_words"]} == {0, 1} and not got[2990]["n_frequent_words"]
+        assert sum(1 for r in got.values() if r["n_frequent_words"]) == 12 + 401 and not got[1990]["kept"]
         left = {r.doc_id: r.text for r in q.filter_documents(frame).collect()}
-        assert line not in left[1] and line not in left[1001] and line in left[2001] and 9 not in left
+        assert line not in left[1] and line not in left[1001] and line in left[2001] and 1990 not in left
 
 
 def test_op4_limits_fire_on_the_given_tables(spark):
