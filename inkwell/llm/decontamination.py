@@ -1,20 +1,24 @@
 """Operator 8: documents that hold benchmark items, by SimHash of item-sized windows.
 
-Native: DataFrame functions only. A window is as many words as some item has; windows that share no 5-gram with an
-item of their size can't be similar to it, so those that line up with a shared 5-gram are taken, moved to the
-text's edge where they would begin before it or end behind it. Their 64-bit SimHash is cut into RADIUS + 1 blocks: two fingerprints within RADIUS agree in a block at least, so that the join
-on (size, block, value) finds all of them. Pairs within RADIUS are verified by the exact weighted Jaccard
-similarity of their 5-grams (weight: how often one occurs). At a similarity of 0.8 the distance of fingerprints
-exceeds RADIUS with probability 4e-4.
+Native: DataFrame functions only. A window is as many words as some item has. A window of similarity `threshold` to
+an item has at least 2 * threshold / (1 + threshold) of its 5-grams in common with it; windows with fewer 5-grams
+of items of their size can't be similar to one and aren't fingerprinted, all others are, wherever they start.
+
+Their 64-bit SimHash is cut into BLOCKS blocks: two fingerprints within RADIUS differ by RADIUS // BLOCKS bits at
+most in one block at least, so that the join of windows' blocks with all values so near to items' blocks finds every
+pair within RADIUS. These are verified by the exact weighted Jaccard similarity of their 5-grams (weight: how often
+one occurs). At a similarity of 0.8 the distance of fingerprints exceeds RADIUS with probability 4e-4.
 
 Defined results: words are compared in lower case; null and empty texts hold nothing; items of fewer than five
-words are left out; repeated rows get their rows each; items with equal texts are each reported; a document
-shorter than an item can't hold it.
+words are left out; repeated rows get their rows each; items with equal texts are each reported, equal rows of the
+benchmark once; a document shorter than an item can't hold it; items of any length are counted in lanes that fit.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +28,10 @@ from .common import let, row_key, row_of, stash, table, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 19
-#: Rows up to which the items' tables are sent to all executors (about 40 bytes each); beyond, the joins shuffle.
-SEND_ROWS = 500_000
-_LANES = 0x0001000100010001
+BLOCKS = 7
+#: Bytes up to which a table of the items is sent to all executors, by a count of its rows and grams; beyond, its join shuffles.
+SEND_BYTES = 24 << 20
+_NARROW, _WIDE = 16, 32
 
 
 def _hashes(text: Column) -> Column:
@@ -40,76 +45,114 @@ def _hashes(text: Column) -> Column:
 
 
 def simhash(grams: Column) -> Column:
-    """For each bit, whether it is set in more than half of the hashes. Counts of four bits at a time share a long."""
-    n = F.size(grams)
+    """For each bit, whether it is set in more than half of the hashes. Counts of several bits share a long, in lanes that can't overflow."""
+    return F.when(F.size(grams) < 1 << _NARROW, _simhash(grams, _NARROW)).otherwise(_simhash(grams, _WIDE))
 
-    def counts(g: int) -> Column:
-        return F.aggregate(grams, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, g).bitwiseAND(_LANES))
 
+def _simhash(grams: Column, width: int) -> Column:
+    n = F.size(grams).cast("long")
+    ones = sum(1 << k for k in range(0, 64, width))
+
+    def counts(g: int) -> Column:
+        return F.aggregate(grams, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, g).bitwiseAND(F.lit(ones)))
 
     def bits(s: Column) -> Column:
-        lanes = [(g + 16 * k, F.shiftrightunsigned(s[g], 16 * k).bitwiseAND(0xFFFF)) for g in range(16) for k in range(4)]
+        lanes = [(g + k, F.shiftrightunsigned(s[g], k).bitwiseAND(F.lit((1 << width) - 1))) for g in range(width) for k in range(0, 64, width)]
         values = [F.when(2 * c > n, F.lit((1 << b) - ((1 << 64) if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in lanes]
         return reduce(lambda a, b: a.bitwiseOR(b), values)
 
-    return let(F.array(*(counts(g) for g in range(16))), bits)
+    return let(F.array(*(counts(g) for g in range(width))), bits)
+
+
+def _edges(blocks: int) -> list[tuple[int, int]]:
+    """First bit and last + 1 of blocks of nearly equal width."""
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _block(fingerprint: Column, a: int, b: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+
+
+def _blocks(fingerprint: Column, blocks: int) -> Column:
+    return F.array(*(F.struct(F.lit(i).alias("block"), _block(fingerprint, a, b).alias("value")) for i, (a, b) in enumerate(_edges(blocks))))
+
 
+def _probes(fingerprint: Column, blocks: int, radius: int) -> Column:
+    """(block, value) of all values within radius // blocks bits of each block."""
+    masks = [[sum(1 << i for i in c) for k in range(radius // blocks + 1) for c in combinations(range(b - a), k)] for a, b in _edges(blocks)]
 
-def _blocks(fingerprint: Column, radius: int) -> Column:
-    """(block, value) of radius + 1 blocks of nearly equal width."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND((1 << (b - a)) - 1).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    def near(i: int, a: int, b: int) -> Column:
+        own = _block(fingerprint, a, b)
+        return F.transform(F.lit(masks[i]).cast("array<bigint>"), lambda m: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(m).alias("value")))
+
+    return F.flatten(F.array(*(near(i, a, b) for i, (a, b) in enumerate(_edges(blocks)))))
 
 
 def _similarity(a: Column, b: Column) -> Column:
     """Sum of the lesser over sum of the greater counts."""
     count = lambda of, x: F.size(F.filter(of, lambda y: y == x))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    single = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    same = F.array_intersect(a, b)
+    both = F.when(single, F.size(same)).otherwise(F.aggregate(same, F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x))))
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _window(grams: Column, w: Column) -> Column:
-    start = F.least(w["start"], F.size(grams) - w["n"])
-    return F.struct(start.alias("start"), w["n"].alias("n"), F.slice(grams, start + 1, w["n"]).alias("grams"))
+def _least_common(n: Column, threshold: float) -> Column:
+    """How many of its n grams a window has in common, at least, with an item of similarity `threshold`."""
+    return F.ceil(n * F.lit(2 * threshold / (1 + threshold)) - F.lit(1e-6)).cast("int")
+
+
+def _starts(w: Column, last: Column, threshold: float) -> Column:
+    """Starts up to `last` of all windows of w.n grams with enough of the places w.at; runs of starts don't overlap."""
+    at = F.sort_array(w["at"])
+
+    def runs(p: Column) -> Column:
+        need = _least_common(w["n"], threshold)
+        low = lambda k: F.greatest(F.get(p, k + need - 1) - w["n"] + 1, F.lit(0), F.when(k > 0, F.least(F.get(p, k - 1), last) + 1).otherwise(0))
+        high = lambda k: F.least(F.get(p, k), last)
+        each = F.transform(F.sequence(F.lit(0), F.size(p) - need), lambda k: F.when(low(k) <= high(k), F.sequence(low(k), high(k))).otherwise(F.array().cast("array<int>")))
+        return F.when(F.size(p) >= need, F.flatten(each)).otherwise(F.array().cast("array<int>"))
+
+    return let(at, runs)
 
 
-def _sent(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SEND_ROWS else df
+def _sent(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= SEND_BYTES else df
 
 
-def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """_key, doc_id, item_id, start (word), n_words, similarity: the best window of each item in each document."""
-    own = items.select("item_id", _hashes(F.col("text")).alias("grams")).filter(F.size("grams") > 0)
-    own = stash(own.select("item_id", "grams", F.size("grams").alias("n"), simhash(F.col("grams")).alias("mark")), "items")
-    places = stash(own.select("n", F.posexplode("grams").alias("q", "h")).distinct(), "grams")
-    n_places = places.count()
+    own = items.select(row_key(F.col("item_id"), F.col("text")).alias("_item"), "item_id", _hashes(F.col("text")).alias("_grams")).filter(F.size("_grams") > 0).dropDuplicates(["_item"])
+    own = stash(own.select("_item", "item_id", "_grams", F.size("_grams").alias("_n"), simhash(F.col("_grams")).alias("_mark")), "items")
+    n_items, n_grams = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    places = own.select(F.col("_n").alias("n"), F.explode("_grams").alias("h")).distinct()
+
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = keyed.select("_key", F.posexplode(_hashes(F.col("text"))).alias("p", "_h"))
-    seen = hashed.join(_sent(places, n_places), F.col("_h") == F.col("h"))
-    # a window that begins before the text or ends behind it is moved to the edge: the item's own edge may be cut off there
-    windows = seen.select("_key", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "n").distinct()
-    windows = windows.groupBy("_key").agg(F.collect_list(F.struct("start", "n")).alias("windows")).withColumnRenamed("_key", "_of")
-    found = keyed.join(windows, F.col("_key") == F.col("_of"))
-    cut = let(_hashes(F.col("text")), lambda g: F.transform(F.filter("windows", lambda w: w["n"] <= F.size(g)), lambda w: _window(g, w)))
-    cut = found.select("_key", "doc_id", F.explode(cut).alias("w")).select("_key", "doc_id", "w.start", "w.n", "w.grams").dropDuplicates(["_key", "start", "n"])
-    marked = cut.withColumn("mark", simhash(F.col("grams"))).withColumn("b", F.explode(_blocks(F.col("mark"), radius)))
-    blocks = own.select("item_id", F.col("n").alias("_n"), F.col("grams").alias("_grams"), F.col("mark").alias("_mark"), F.explode(_blocks(F.col("mark"), radius)).alias("_b"))
-    near = marked.join(_sent(blocks, n_places), (F.col("n") == F.col("_n")) & (F.col("b") == F.col("_b")) & (F.bit_count(F.col("mark").bitwiseXOR(F.col("_mark"))) <= radius))
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    # a pair counts in the first block in which it meets
+    seen = hashed.join(_sent(places, 48 * n_grams), F.col("_h") == F.col("h"))
+    seen = seen.groupBy("_key", "n").agg(F.collect_set("p").alias("at")).filter(F.size("at") >= _least_common(F.col("n"), threshold))
+    seen = seen.groupBy("_key").agg(F.collect_list(F.struct("n", "at")).alias("windows")).withColumnRenamed("_key", "_of")
+
+    found = keyed.join(seen, F.col("_key") == F.col("_of")).select("_key", "doc_id", "windows", _hashes(F.col("text")).alias("g"))
+    each = found.select("_key", "doc_id", "g", F.explode("windows").alias("w")).filter(F.col("w.n") <= F.size("g"))
+    each = each.select("_key", "doc_id", "g", F.col("w.n").alias("n"), F.explode(_starts(F.col("w"), F.size("g") - F.col("w.n"), threshold)).alias("start"))
+    cut = each.select("_key", "doc_id", "n", "start", F.slice("g", F.col("start") + 1, F.col("n")).alias("grams"))
+    marked = cut.withColumn("mark", simhash(F.col("grams"))).withColumn("b", F.explode(_blocks(F.col("mark"), blocks)))
+
+    probes = own.select("_item", "_n", "_mark", F.explode(_probes(F.col("_mark"), blocks, radius)).alias("_b"))
+    n_probes = n_items * sum(comb(b - a, k) for a, b in _edges(blocks) for k in range(radius // blocks + 1))
     differ = F.col("mark").bitwiseXOR(F.col("_mark"))
-    first = reduce(lambda rest, i: F.when(differ.bitwiseAND(_mask(edges[i], edges[i + 1])) == 0, F.lit(i)).otherwise(rest), reversed(range(radius + 1)), F.lit(-1))
-    near = near.filter(first == F.col("b.block"))
-    scored = near.select("_key", "doc_id", "item_id", "start", F.col("n").alias("_n"), _similarity(F.col("grams"), F.col("_grams")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    near = marked.join(_sent(probes, 80 * n_probes), (F.col("n") == F.col("_n")) & (F.col("b") == F.col("_b")) & (F.bit_count(differ) <= radius))
+    # a pair counts in the first block in which it meets
+    meets = [F.when(F.bit_count(_block(differ, a, b)) <= radius // blocks, F.lit(i)) for i, (a, b) in enumerate(_edges(blocks))]
+    near = near.filter(F.coalesce(*meets) == F.col("b.block")).select("_key", "doc_id", "start", "grams", F.col("_item").alias("_of"))
+    pairs = near.join(_sent(own.select("_item", "item_id", "_grams", "_n"), 64 * n_items + 8 * n_grams), F.col("_of") == F.col("_item"))
+    scored = pairs.select("_key", "doc_id", "item_id", "start", "_n", _similarity(F.col("grams"), F.col("_grams")).alias("similarity")).filter(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "_n")).alias("best")
     return scored.groupBy("_key", "doc_id", "item_id").agg(best).select("_key", "doc_id", "item_id", (-F.col("best.back")).alias("start"), (F.col("best._n") + SHINGLE - 1).alias("n_words"), "best.similarity")
 
 
-def _mask(a: int, b: int) -> int:
-    value = ((1 << b) - 1) ^ ((1 << a) - 1)
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs that hold no item; columns as in docs."""
     found = find_items(docs, items, threshold).select(F.col("_key").alias("_gone")).distinct()
@@ -124,14 +167,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GRAMS = "CASE WHEN len(w) < 5 THEN [] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+#: Over all windows of the pairs of documents and items that have a 5-gram in common; others have the similarity 0.
 OP8_SQL = f"""
-WITH i AS (SELECT item_id, {_GRAMS} AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+WITH i AS (SELECT row_number() OVER () AS iid, item_id, {_GRAMS} AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_GRAMS} AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-places AS (SELECT DISTINCT len(g) AS n, unnest(g) AS x, generate_subscripts(g, 1) AS q FROM i),
-seen AS (SELECT rid, doc_id, unnest(g) AS x, generate_subscripts(g, 1) AS p FROM d),
-wins AS (SELECT DISTINCT rid, n, p - q AS start FROM seen JOIN places USING (x)),
-cut AS (SELECT wins.rid, doc_id, n, start, g[start + 1:start + n] AS a FROM wins JOIN d USING (rid) WHERE start >= 0 AND start + n <= len(g)),
-pairs AS (SELECT rid, doc_id, item_id, start, n, a, i.g AS b, list_intersect(list_distinct(a), i.g) AS c FROM cut JOIN i ON len(i.g) = n),
+meet AS (SELECT DISTINCT rid, iid FROM (SELECT rid, unnest(g) AS x FROM d) JOIN (SELECT iid, unnest(g) AS x FROM i) USING (x)),
+wins AS (SELECT rid, iid, unnest(range(0, len(d.g) - len(i.g) + 1)) AS start FROM meet JOIN d USING (rid) JOIN i USING (iid) WHERE len(d.g) >= len(i.g)),
+cut AS (SELECT rid, doc_id, item_id, start, i.g AS b, len(i.g) AS n, d.g[start + 1:start + len(i.g)] AS a FROM wins JOIN d USING (rid) JOIN i USING (iid)),
+pairs AS (SELECT *, list_intersect(list_distinct(a), b) AS c FROM cut),
 scored AS (SELECT rid, doc_id, item_id, start, n, list_sum(list_transform(c, lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS c FROM pairs WHERE len(c) > 0)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(n + {SHINGLE - 1} AS INTEGER) AS n_words, c / (2 * n - c) AS similarity FROM scored WHERE c / (2 * n - c) >= {THRESHOLD}
 QUALIFY row_number() OVER (PARTITION BY rid, item_id ORDER BY c / (2 * n - c) DESC, start, n DESC) = 1

@@ -6,7 +6,7 @@ import itertools
 
 import pytest
 
-from inkwell.llm import decontamination, html_text, line_dedup, ngram_join, paragraph_dedup, registry, sentence_piece, suffix_dedup
+from inkwell.llm import decontamination, html_text, line_dedup, ngram_join, registry, sentence_piece, suffix_dedup
 from inkwell.llm.near import components
 
 
@@ -245,7 +245,9 @@ def test_op8_fingerprints_match_python(spark):
     from pyspark.sql import functions as F
 
     values = [[5, -7, 1 << 62, -(1 << 63)], [1, 2, 3], [-1], [9, 9, 12]]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "g array<long>").select(decontamination.simhash(F.col("g"))).collect()]
+    marks = spark.createDataFrame([(v,) for v in values], "g array<long>").select(decontamination.simhash(F.col("g")).alias("m"), decontamination._simhash(F.col("g"), 32).alias("w")).collect()
+    got = [r.m for r in marks]
+    assert got == [r.w for r in marks]  # as counted in lanes for long items
 
     def loop(v):
         x = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in v) > len(v))
@@ -254,21 +256,6 @@ def test_op8_fingerprints_match_python(spark):
     assert sorted(got) == sorted(map(loop, values))
 
 
-def test_op10_equals_brute_force(spark, small, docs):
-    paras = []
-    for k, (d, t) in enumerate(docs):
-        paras += [(d, k, i, shingle_set(x)) for i, x in enumerate((t or "").split("\n")) if len(x.split()) >= 25]
-    top = roots(len(paras), near_pairs([p[3] for p in paras]))
-    size = collections.Counter(top)
-    repeated = collections.Counter(paras[i][1] for i, r in enumerate(top) if size[r] > 1)
-    got = collections.Counter((r["doc_id"], r["n_repeated"]) for r in rows(paragraph_dedup.op10_paragraph_dedup(spark, small)))
-    assert got == collections.Counter((d, repeated[k]) for k, (d, _) in enumerate(docs))
-    frame = spark.read.parquet(f"{small}/documents.parquet")
-    out = paragraph_dedup.filter_documents(frame)
-    assert out.columns == frame.columns
-    assert sorted(r.text.count("\n") for r in out.filter("doc_id BETWEEN 300 AND 311").collect()) == [1] * 11 + [2]
-
-
 def test_components_of_a_path_and_a_star(spark):
     path = [(i * 7919 % 1000, (i + 1) * 7919 % 1000) for i in range(50)]
     star = [(2000, 2000 + i) for i in range(1, 60)]
