@@ -35,18 +35,48 @@ def forget() -> None:
     _hashes.clear()
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def gram_hashes(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the runs of `size` words, in order; h: hashes of the words."""
+    out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for i in range(size):
+        out = (out ^ h[i : len(out) + i]) * _MIX[i % 5]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def least_of_runs(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each run of `width` values."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def window_starts(grams: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int, step: int) -> np.ndarray:
+    """Where windows of `size` words start in the segments begins to ends, which follow each other without a gap: at
+    the least gram hash of each `step` successive places, so that a run of size + step - 1 words has a window in it, and
+    equal runs have the same."""
+    if len(grams) < step or not len(ends):
+        return np.zeros(0, np.int64)
+    bits = np.uint64(max(20, len(grams).bit_length()))
+    least = least_of_runs((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), step)
+    end_of = np.repeat(ends, ends - begins)[: len(least)]
+    inside = np.arange(len(end_of)) + (step - 1 + size) <= end_of
+    return np.unique((least[: len(end_of)][inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of runs of `size` words; of a shorter text, one hash of all its words; of no word, none."""
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = (out ^ h[i : len(h) - size + 1 + i]) * _MIX[i % 5]
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return np.unique(gram_hashes(word_hashes(words), min(size, len(words))))
 
 
 def minhashes(items: np.ndarray, n: int) -> np.ndarray:
