@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, row_of, table, tidy, with_text
+from .common import row_key, row_of, small_batches, table, tidy, with_text
 
 WINDOW = 2
 MEAN_LINES = 3
@@ -132,6 +132,7 @@ def _rebuilt(mean_lines: int):
 
 def dedup_lines(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     """_row (the struct of all columns of docs), _kept (its text without repeated chunks) and counts."""
+    small_batches(docs.sparkSession)
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), row_of(docs).alias("_row"))
     gone = removed_chunks(docs, rows, mean_lines)
     joined = rows.join(gone, F.col("_key") == F.col("_of"), "left").select("_row", "gone")

@@ -19,14 +19,13 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_of, stash, table, tidy
+from .common import row_of, small_batches, stash, table, tidy
 from .near import THRESHOLD, band_keys, components, dealt, forest, forget, meeting, minhashes, shingles, verified
 
 BANDS, ROWS = 32, 4
@@ -100,6 +99,7 @@ def _pruned(threshold: float):
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of what hangs together by links), copy_id (least doc_id with the same shingles), n_links, n_linked_texts."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     signed = stash(own.mapInArrow(tidy(_signed, forget), "doc_id long, rid long, bands array<long>, low binary, size long"), "signed")
     nodes = signed.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
@@ -152,15 +152,17 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same = F.col("_doc").eqNullSafe(F.col("_id"))
     single = rows.join(gone.union(again).distinct(), same, "left_anti").select("_row")
     # the few rows whose doc_id repeats: several texts may have it, and only some of them may stay
-    repeated = rows.join(again, same, "left_semi").withColumn("_rid", _rid_of(F.col("_row.text"))).dropDuplicates(["_doc", "_rid"])
+    repeated = rows.join(again, same, "left_semi")
+    repeated = repeated.mapInArrow(_with_rid, T.StructType([*repeated.schema, T.StructField("_rid", T.LongType())])).dropDuplicates(["_doc", "_rid"])
     stay = facts.filter("doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
     repeated = repeated.join(stay, same, "left_semi").select("_row")
     return single.unionByName(repeated).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
-@F.pandas_udf(T.LongType())
-def _rid_of(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: xxhash.xxh64_intdigest(shingles(t).tobytes()) - (1 << 63))
+def _with_rid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rids = [xxhash.xxh64_intdigest(shingles(t).tobytes()) - (1 << 63) for t in batch.column(0).field("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rids, pa.int64())], [*batch.schema.names, "_rid"])
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": op1.OP1_SQL, "op2_suffix_dedup": op2.OP2_SQL, "op4_quality_rules": op4.OP4_SQL, "op8_decontamination": op8.OP8_SQL, "op10_paragraph_dedup": op10.OP10_SQL}
+    return {"op1_ngram_join": op1.OP1_SQL, "op2_suffix_dedup": op2.OP2_SQL, "op4_quality_rules": op4.OP4_SQL, "op8_decontamination": op8.OP8_SQL}

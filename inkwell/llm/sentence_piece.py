@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .common import table, tidy
+from .common import small_batches, table, tidy
 
 #: Threads of the tokenizers library in a worker, which has a core of its own; idle ones would burn time and hold memory.
 os.environ.setdefault("RAYON_NUM_THREADS", "2")
@@ -327,6 +327,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def _ship(spark: SparkSession, model: str) -> None:
     """Executors that don't have the model at the same path get it from the driver."""
+    small_batches(spark)
     spark.sparkContext.addFile(model)
 
 
