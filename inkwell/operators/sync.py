@@ -6,7 +6,7 @@ a DataFrame. Joins are on hashed keys of both sides, so that they shuffle once,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,80 @@ def resolve_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:
     by_id = wanted.join(known.select(F.col("id").alias("_id")), F.col("ref") == F.col("_id"), "left")
     names = known.groupBy("name").agg(F.min("id").alias("_by_name"))
     return by_id.join(names, F.col("ref") == F.col("name"), "left").select("ref", F.coalesce("_id", "_by_name").alias("id"))
+
+
+def page_hashes_of(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """group, key and hash of rendered pages."""
+    return df.select(group, key, F.sha2(text, 256).alias("hash"))
+
+
+def outbox(diff: DataFrame, group: str, key: str, remote: DataFrame) -> DataFrame:
+    """What to send after a page diff, in order: new and modified pages are put first, then the documents that they replace and those of gone pages are deleted.
+
+    diff: group, key, change; remote: group, key, doc (the remote id of what was pushed before). Result: group, key, action, doc, step.
+    """
+    before = remote.select(F.col(group).alias("_g"), F.col(key).alias("_k"), "doc")
+    joined = diff.filter("change <> 'same'").join(before, (F.col(group) == F.col("_g")) & (F.col(key) == F.col("_k")), "left")
+    put = F.when(F.col("change") != "gone", F.struct(F.lit("put").alias("action"), F.lit(None).cast("string").alias("doc"), F.lit(1).alias("step")))
+    delete = F.when(F.col("doc").isNotNull(), F.struct(F.lit("delete").alias("action"), F.col("doc").cast("string").alias("doc"), F.lit(2).alias("step")))
+    return joined.select(group, key, F.explode(F.array_compact(F.array(put, delete))).alias("x")).select(group, key, "x.action", "x.doc", "x.step")
+
+
+def vanished_documents(gone: DataFrame, key: str) -> DataFrame:
+    """key and the remote ids to delete of registry rows whose source went: those of all outputs and those of the record, each once."""
+    recorded = F.transform(F.split(F.coalesce("doc_id", F.lit("")), ","), lambda x: F.trim(x))
+    ids = F.filter(F.array_union(recorded, F.coalesce(F.map_values("output_docs"), F.array().cast("array<string>"))), lambda x: x != "")
+    return gone.select(key, F.explode(F.array_distinct(ids)).alias("doc"))
+
+
+def render_plan(docs: DataFrame, manifest: DataFrame, on_disk: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """docs (key, hash) with plan: added (also all, where the fingerprint of the manifest's run is another), modified (another hash, or no output), same.
+
+    manifest: key, hash, fingerprint; on_disk: key.
+    """
+    before = manifest.select(F.col(key).alias("_k"), F.col("hash").alias("_hash"), F.col("fingerprint").alias("_f"))
+    there = on_disk.select(F.col(key).alias("_there")).distinct()
+    joined = docs.join(before, F.col(key) == F.col("_k"), "left").join(there, F.col(key) == F.col("_there"), "left")
+    new = F.col("_k").isNull() | (F.col("_f") != fingerprint)
+    plan = F.when(new, "added").when((F.col("_hash") != F.col("hash")) | F.col("_there").isNull(), "modified").otherwise("same")
+    return joined.select(*docs.columns, plan.alias("plan"))
+
+
+def stale_outputs(on_disk: DataFrame, docs: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Outputs on disk (key) that no document has, whatever earlier runs recorded; `keep` names the run's own files."""
+    own = on_disk.filter(F.col(key).endswith(".md") & ~F.col(key).isin(*keep)) if keep else on_disk.filter(F.col(key).endswith(".md"))
+    return own.select(key).join(docs.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+
+
+def chapters(listed: DataFrame, files: DataFrame, rest: str) -> DataFrame:
+    """chapter, at, file: each file in the first chapter that lists it, in order; files (file) that none lists in the chapter `rest`."""
+    first = listed.groupBy("file").agg(F.min(F.struct("chapter", "at")).alias("x")).select("x.chapter", "x.at", "file")
+    left = files.join(first.select(F.col("file").alias("_f")), F.col("file") == F.col("_f"), "left_anti")
+    return first.unionByName(left.select(F.lit(rest).cast(first.schema["chapter"].dataType).alias("chapter"), F.lit(None).cast(first.schema["at"].dataType).alias("at"), "file"))
+
+
+def registry_json(registry: DataFrame) -> DataFrame:
+    """The registry's nested columns as JSON text."""
+    return registry.withColumns({"outputs": F.to_json("outputs"), "output_docs": F.to_json("output_docs"), "page_hashes": F.to_json("page_hashes")})
+
+
+def registry_of_json(stored: DataFrame) -> DataFrame:
+    """Back from JSON; what can't be read is empty."""
+    text = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return stored.withColumns(
+        {
+            "outputs": F.coalesce(F.from_json("outputs", "array<string>"), F.array().cast("array<string>")),
+            "output_docs": F.coalesce(F.from_json("output_docs", "map<string,string>"), text),
+            "page_hashes": F.coalesce(F.from_json("page_hashes", "map<string,string>"), text),
+        }
+    )
+
+
+def new_uploads(sent: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
+    """sent (name) with file, its base name, and verdict: uploaded, or skipped where a file of that name is there or came before. existing: file."""
+    named = sent.withColumn("file", F.substring_index(F.translate("name", "\\", "/"), "/", -1))
+    there = existing.select(F.col("file").alias("_file")).distinct()
+    k = F.row_number().over(Window.partitionBy("file").orderBy("name"))
+    joined = named.withColumn("_k", k).join(there, F.col("file") == F.col("_file"), "left")
+    taken = F.lit(False) if overwrite else F.col("_file").isNotNull() | (F.col("_k") > 1)
+    return joined.select(*sent.columns, "file", F.when(taken, "skipped").otherwise("uploaded").alias("verdict"))

@@ -10,7 +10,13 @@ from inkwell.functions.text import glob_pattern
 
 # What a scan leaves out, and the formats that it takes.
 EXCLUDES = ("~*", ".*", "_*", "*.tmp", "*.bak")
-EXTENSIONS = ("txt", "md", "csv", "html", "htm", "docx", "wpsx", "xlsx", "pptx", "dpsx", "odt", "ofd", "rtf", "eml", "zip", "tar", "gz", "tgz", "bz2", "xz", "pdf")
+EXTENSIONS = (
+    "ofd", "wps", "wpsx", "dpsx", "docx", "xlsx", "et", "etx", "pdf", "htm", "html", "pptx", "ppt", "dps", "doc", "xls", "gd", "rtf", "chm", "eml", "msg",
+    "md", "txt", "csv", "zip", "rar", "7z", "tar", "gz", "tgz", "bz2", "tbz2", "xz", "txz", "odt",
+)
+
+
+IMAGES = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff")
 
 
 def excluded(rel: Column, patterns: tuple[str, ...] = EXCLUDES) -> Column:
@@ -21,6 +27,12 @@ def excluded(rel: Column, patterns: tuple[str, ...] = EXCLUDES) -> Column:
     return F.exists(F.split(rel, "/"), lambda s: s.rlike(f"^(?:{whole})$"))
 
 
+def relative(path: Column, root: str) -> Column:
+    """Below the root."""
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    return F.regexp_replace(F.substring_index(path, base + "/", -1), "^/+", "")
+
+
 def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path, rel, size, modified, content; no row for a missing root. Columns that aren't used aren't read."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -30,9 +42,12 @@ def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         found = spark.createDataFrame([], schema)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    rel = F.regexp_replace(F.substring_index("path", base + "/", -1), "^/+", "")
-    return found.select("path", rel.alias("rel"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    return found.select("path", relative(F.col("path"), root).alias("rel"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+
+
+def images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """path, rel and size of the image files below root."""
+    return scan(spark, root, recursive, IMAGES, ()).select("path", "rel", "size")
 
 
 def scan(spark: SparkSession, root: str, recursive: bool = True, extensions: tuple[str, ...] = EXTENSIONS, excludes: tuple[str, ...] = EXCLUDES) -> DataFrame:

@@ -27,10 +27,31 @@ def test_runs(spark, tmp_path):
     os.remove(f"{root}/d/b.docx")
     assert run_batch(spark, root, out, state) == Report(3, 1, 1, 1, 1)
     assert open(f"{out}/a.txt.md").read() == "changed text"
+    assert {r.path for r in spark.read.json(f"{state}/vanished/run=2").collect()} == {"d/b.md"}
+    os.remove(f"{out}/z.zip/d/a.txt.md")  # an output that is gone is made again
+    assert run_batch(spark, root, out, state) == Report(3, 1, 1, 1, 0)
+    assert open(f"{out}/z.zip/d/a.txt.md").read() == "inside"
     report = {r.kind: r.n for r in quality_report(spark.read.parquet(f"{state}/outputs/run=0")).collect()}
     assert report["txt"] == 2 and report["docx"] == 1
 
 
+def test_five_runs_keep_all_outputs(spark, tmp_path):
+    """Each run adds a file; names are no globs; a copy that keeps size and time but not its text is seen."""
+    root, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    names = ["f0.txt", "f[1].txt", "f {2}.md", "f*3.doc", "f4.msg"]
+    for i, name in enumerate(names):
+        put(f"{root}/{name}", f"text {i}".encode())
+        report = run_batch(spark, root, out, state)
+        assert report.scanned == i + 1 and report.converted + report.failed >= 1
+    made = spark.read.parquet(f"{state}/outputs")
+    assert {r.source for r in made.collect()} == set(names) and {r.run for r in made.select("run").distinct().collect()} == {0, 1, 2, 3, 4}
+    before = os.stat(f"{root}/f0.txt")
+    put(f"{root}/f0.txt", b"text X")
+    os.utime(f"{root}/f0.txt", ns=(before.st_atime_ns, before.st_mtime_ns))
+    run_batch(spark, root, out, state)
+    assert open(f"{out}/f0.txt.md").read() == "text X"
+
+
 def test_settings():
     base = {"a": {"b": 1, "f": 1.5, "on": True}, "api_key": "abcdefghijkl"}
     new = config.put(base, "a.b", 2)
