@@ -10,6 +10,18 @@ from .quality import SPACE, let, strip
 # Limits of paths and notes.
 MAX_SEGMENT, MAX_DEPTH, MAX_PATH = 128, 16, 1024
 FOLD_KEEP = 400
+# What opens a quoted reply, at the start of a line that may have marks of quotes or emphasis before it.
+_OPEN = r"^[\s>*_]*"
+QUOTE_MARKS = (
+    _OPEN + r"-{2,}\s*原始邮件\s*-{2,}",
+    _OPEN + r"-{2,}\s*(?i:Original Message)\s*-{2,}",
+    _OPEN + r"-{2,}\s*(?i:Forwarded message)\s*-{2,}",
+    _OPEN + r"_{10,}\s*$",
+    _OPEN + r"On .{5,80} wrote:\s*$",
+    _OPEN + r"发件人[:：][^\n]{0,80}\n\s*>?\s*(?:发送时间|Sent)[:：]",
+    _OPEN + r"在\s*\d{4}年[^\n]{0,40}写道[:：]\s*$",
+    _OPEN + r"-{2,}\s*邮件原件\s*-{2,}",
+)
 
 
 def newlines(text: Column) -> Column:
@@ -35,6 +47,29 @@ def sanitize(text: Column) -> Column:
     return newlines(F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
 
 
+def file_name(name: Column) -> Column:
+    """Without control characters and outer white space."""
+    return strip(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\x00-\x1f\x7f]", ""))
+
+
+def cut_component(name: Column, limit: int = 180) -> Column:
+    """At most `limit` bytes of UTF-8; the extension stays, and characters stay whole."""
+    ext = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)
+
+    def cut(stem: Column) -> Column:
+        keep = F.lit(limit) - F.octet_length(ext) - 1
+        short = F.substring(stem, F.lit(1), F.greatest(keep, F.lit(0)))  # as many characters as bytes, at most
+        sizes = F.transform(F.sequence(F.lit(0), F.length(short)), lambda k: F.when(F.octet_length(F.substring(short, F.lit(1), k)) <= keep, k))
+        return F.substring(short, F.lit(1), F.coalesce(F.array_max(sizes), F.lit(0)))
+
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+    return F.when(F.octet_length(name) <= limit, name).otherwise(F.concat(let(stem, cut), ext))
+
+
+def iso_seconds(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def rel_path(path: Column) -> Column:
     """Slashes only, no empty, . or .. segment, long segments cut (their extension stays), the deepest MAX_DEPTH segments."""
 

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.sources.scan import excluded
 from inkwell.sources.tables import table
 
-# Marks of a quoted reply, and default excludes of a scan.
-QUOTE_MARKS = [r"^-{2,}\s*Original Message", r"^On .{1,200} wrote:", r"^From:\s", r"^>{1,3}\s"]
-EXCLUDES = ["~*", ".*", "_*", "*.tmp", "*.bak"]
+QUOTE_MARKS = list(T.QUOTE_MARKS)
 KINDS = {".txt": "text/plain", ".md": "text/markdown", ".html": "text/html", ".pdf": "application/pdf", ".csv": "text/csv"}
 #: Documents with the debris that the rules treat, made of the table's columns.
-MESSY = "SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '\ufeff' ELSE '' END, replace(substr(text, 1, 400), '. ', CASE WHEN doc_id % 2 = 0 THEN concat('.', chr(13), chr(10)) ELSE concat('. ', chr(7), '|', chr(13)) END), repeat(chr(10), CAST(doc_id % 7 AS INT)), CASE WHEN doc_id % 5 = 0 THEN 'C:\\x\\' ELSE '' END, 'end', chr(127)) AS text FROM documents"
-REPLIES = "SELECT conv_id, turn, concat(text, chr(10), CASE conv_id % 5 WHEN 0 THEN '-- Original Message' WHEN 1 THEN 'On Monday someone wrote:' WHEN 2 THEN 'From: x' WHEN 3 THEN '> quoted' ELSE 'plain' END, chr(10), repeat(concat(role, ' said so. '), CAST(20 * (turn + 1) AS INT))) AS text FROM conversations"
+MESSY = "SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN '\ufeff' ELSE '' END, replace(text, '. ', CASE WHEN doc_id % 2 = 0 THEN concat('.', chr(13), chr(10)) ELSE concat('. ', chr(7), '|', chr(13)) END), repeat(chr(10), CAST(doc_id % 7 AS INT)), CASE WHEN doc_id % 5 = 0 THEN 'C:\\x\\' ELSE '' END, 'end', chr(127)) AS text FROM documents"
+REPLIES = "SELECT conv_id, turn, concat(text, chr(10), CASE conv_id % 11 WHEN 0 THEN '---- Original Message ----' WHEN 1 THEN '> On Monday someone wrote: ' WHEN 2 THEN '--原始邮件--' WHEN 3 THEN '*--- forwarded message ---' WHEN 4 THEN '____________  ' WHEN 5 THEN concat('发件人: x', chr(10), '> Sent: y') WHEN 6 THEN '在 2024年1月2日 某人写道：' WHEN 7 THEN '-- 邮件原件 --' WHEN 8 THEN '> quoted' WHEN 9 THEN 'On x wrote: more' ELSE 'plain' END, chr(10), repeat(concat(role, ' said so. '), CAST(20 * (turn + 1) AS INT))) AS text FROM conversations"
 PATHS = "SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN './' WHEN 1 THEN '../a//' WHEN 2 THEN 'b\\c\\' ELSE '/' END, replace(replace(url, '://', '/'), '?', '~'), repeat('/deep', CAST(page_id % 20 AS INT)), CASE WHEN page_id % 6 = 0 THEN concat('/', repeat('n', 200), '.html') ELSE '/x.md' END) AS path FROM pages"
 WINDOWS = "SELECT page_id, concat(CASE page_id % 4 WHEN 0 THEN 'D:\\docs\\' WHEN 1 THEN 'q:\\' WHEN 2 THEN '\\\\srv\\share\\' ELSE 'rel\\' END, CAST(page_id AS VARCHAR), '.txt') AS path FROM pages"
 _BS = "chr(92)"
@@ -78,16 +77,7 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exclude_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths none of whose parts below the root match an exclude."""
     paths = made(spark, sf_dir, "SELECT page_id, concat(CASE page_id % 6 WHEN 0 THEN '.git/a' WHEN 1 THEN 'docs/_x/b' WHEN 2 THEN 'c/~lock' WHEN 3 THEN 'd.tmp' ELSE 'e/f' END, CASE WHEN page_id % 10 = 4 THEN '.bak' ELSE '.md' END) AS rel FROM pages")
-    patterns = [T.glob_pattern(g) for g in EXCLUDES]
-    away = F.exists(F.split("rel", "/"), lambda s: F.lit(False) if not patterns else _any(s, patterns))
-    return paths.filter(~away).select("page_id", "rel")
-
-
-def _any(value, patterns: list[str]):
-    out = value.rlike(patterns[0])
-    for p in patterns[1:]:
-        out = out | value.rlike(p)
-    return out
+    return paths.filter(~excluded(F.col("rel"))).select("page_id", "rel")
 
 
 def unique_sibling_names(spark: SparkSession, sf_dir: str) -> DataFrame:

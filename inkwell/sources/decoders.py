@@ -1,6 +1,7 @@
 """Files to blocks: one function a format, from bytes to (kind, level, text, rows).
 
-A block is a heading (with a level), a paragraph, a list item, a quote, or a table (rows of cells). Decoders run
+A block is a heading (with a level), a paragraph, a list item, a quote, code, a rule, or a table (rows of cells); bold,
+italic, struck and code runs, links and images in its text are Markdown. Decoders run
 in Arrow batches behind `decode_files`; what they can't read becomes a typed error row, never an exception.
 """
 
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import FOLD_KEEP, QUOTE_MARKS
+
 from . import legacy
 
 
@@ -47,6 +50,8 @@ class DecodeError(Exception):
 # Budgets of archives and sheets, and destination groups of RTF that hold no text.
 MAX_ENTRIES, MAX_BYTES, MAX_DEPTH = 100_000, 2 << 30, 3
 MAX_ROWS, MAX_CELLS, MAX_CHARS, MAX_COLUMNS, MAX_SHEETS = 3000, 200_000, 120_000, 80, 20
+MAX_ATTACHED, MAX_ATTACHED_ALL, MAX_ATTACHED_CHARS, MAX_MAIL_CHARS, MAX_NESTED = 50 << 20, 150 << 20, 120_000, 400_000, 1
+BATCH_CHARS = 4 << 20
 RTF_SKIP = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "header", "footer", "generator", "themedata", "listtable", "listoverridetable", "rsidtbl", "xmlnstbl", "datastore", "latentstyles"}
 
 
@@ -72,6 +77,7 @@ def decode_csv(content: bytes) -> list[Block]:
 
 class _Html(HTMLParser):
     SKIP = {"script", "style", "noscript", "iframe", "svg", "head"}
+    MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "s": "~~", "del": "~~", "strike": "~~", "code": "`"}
     BREAK = {"p", "div", "section", "article", "header", "footer", "nav", "main", "aside", "ul", "ol", "table", "blockquote", "body", "form", "figure", "pre", "dl", "dt", "dd", "address"}
 
     def __init__(self):
@@ -84,18 +90,37 @@ class _Html(HTMLParser):
         self.rows: list[list[str]] | None = None
         self.href = ""
         self.cell = False
+        self.open: list[tuple[str, int]] = []  # marks that are open, and where their text starts
+        self.pre = 0
+
+    def marked(self, tag: str) -> None:
+        """Puts the mark of a tag that ends around its text, inside white space; text without a word gets none."""
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
+        if at is None:
+            return
+        _, start = self.open[at]
+        del self.open[at:]
+        inner = "".join(self.text[start:])
+        mark, body = self.MARKS[tag], inner.strip()
+        if body and not (body.startswith(mark) and body.endswith(mark)):
+            lead, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
+            self.text[start:] = [lead, mark, body, mark, tail]
 
     def handle_data(self, data):
         if not self.skip:
             self.text.append(data)
 
     def end_cell(self) -> None:
+        for tag, _ in reversed(self.open):
+            self.marked(tag)
         if self.cell and self.rows:
             self.rows[-1].append(" ".join("".join(self.text).split()))
         self.text.clear()
         self.cell = False
 
     def flush(self, kind: str = "p", level: int = 0) -> None:
+        for tag, _ in reversed(self.open):
+            self.marked(tag)
         joined = " ".join("".join(self.text).split())
         self.text.clear()
         if joined and self.rows is None:
@@ -128,7 +153,15 @@ class _Html(HTMLParser):
             self.end_cell()
             self.cell = True
         elif tag == "br":
-            self.text.append(" ")
+            self.text.append("\n" if self.pre else " ")
+        elif tag == "pre" and self.rows is None:
+            self.flush()
+            self.pre += 1
+        elif tag == "hr" and self.rows is None:
+            self.flush()
+            self.blocks.append(Block("hr", 0, ""))
+        elif tag in self.MARKS and not self.pre:
+            self.open.append((tag, len(self.text)))
         elif tag == "blockquote":
             self.flush("quote")
         elif tag == "a":
@@ -145,7 +178,15 @@ class _Html(HTMLParser):
             return
         if self.skip:
             return
-        if tag in ("td", "th") and self.rows:
+        if tag in self.MARKS:
+            self.marked(tag)
+        elif tag == "pre" and self.pre and self.rows is None:
+            self.pre -= 1
+            code = "".join(self.text).strip("\n")
+            self.text.clear()
+            if code.strip():
+                self.blocks.append(Block("code", 0, code))
+        elif tag in ("td", "th") and self.rows:
             self.end_cell()
         elif tag == "table" and self.rows is not None:
             self.end_cell()
@@ -266,6 +307,27 @@ def _runs(p: ElementTree.Element) -> str:
     return "".join(out)
 
 
+def _marked_runs(p: ElementTree.Element) -> str:
+    """The text of a paragraph, its bold, italic and struck runs in marks; runs that are alike go together."""
+    out: list[tuple[tuple[bool, bool, bool], str]] = []
+    for r in (x for x in p.iter() if _local(x) == "r"):
+        text = _runs(r)
+        props = next((x for x in r if _local(x) == "rPr"), None)
+        on = tuple(any(_local(x) == name and _attr(x, "val") not in ("0", "false", "none") for x in (props if props is not None else ())) for name in ("b", "i", "strike"))
+        if text:
+            if out and out[-1][0] == on:
+                out[-1] = (on, out[-1][1] + text)
+            else:
+                out.append((on, text))
+    done = []
+    for on, text in out:
+        body = text.strip()
+        for mark in (m for m, yes in zip(("**", "*", "~~"), on, strict=True) if yes and body):
+            body = f"{mark}{body}{mark}"
+        done.append(text[: len(text) - len(text.lstrip())] + body + text[len(text.rstrip()) :] if body else text)
+    return "".join(done)
+
+
 def _attr(e: ElementTree.Element | None, name: str) -> str:
     return next((v for k, v in (e.attrib if e is not None else {}).items() if k.rpartition("}")[2] == name), "")
 
@@ -280,15 +342,16 @@ def decode_docx(content: bytes) -> list[Block]:
     for e in body if body is not None else []:
         if _local(e) == "p":
             text = _runs(e).strip()
+            shown = _marked_runs(e).strip() or text
             style = _attr(_find(e, "pStyle"), "val")
             head = re.fullmatch(r"(?:Heading|标题)\s*([1-6])", style, re.I)
             number = _attr(_find(e, "numId"), "val")
             if text and head:
                 out.append(Block("h", int(head[1]), text))
             elif text and (number not in ("", "0") or style.startswith("List")) and not re.match(r"(?:\d+[.)、]|[（(]\d+[)）])", text):
-                out.append(Block("li", 0, text))
+                out.append(Block("li", int(_attr(_find(e, "ilvl"), "val") or 0), shown))
             elif text:
-                out.append(Block("p", 0, text))
+                out.append(Block("p", 0, shown))
         elif _local(e) == "tbl":
             rows = []
             for tr in (x for x in e if _local(x) == "tr"):
@@ -425,39 +488,100 @@ def decode_ofd(content: bytes) -> list[Block]:
     return out
 
 
+def collapse_quoted(text: str) -> tuple[str, str]:
+    """(text up to the first mark of a quoted reply, a note with the start of the rest), or (text, "") where the rest is short."""
+    cuts = [m.start() for m in (re.search(p, text, re.M) for p in QUOTE_MARKS) if m]
+    if not cuts or len(text) - min(cuts) <= FOLD_KEEP * 1.5:
+        return text, ""
+    tail = text[min(cuts) :]
+    preview = re.sub(r"\n{3,}", "\n\n", tail.strip())[:FOLD_KEEP]
+    return text[: min(cuts)].rstrip(), f"引用历史已折叠：原文共 {len(tail)} 字符（回复链/转发历史），下方仅保留前 {min(FOLD_KEEP, len(tail))} 字符预览，避免同一制度重复入库。\n\n{preview}"
+
+
+def _size_text(n: int) -> str:
+    return f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB"
+
+
+def _is_attached(part) -> bool:
+    kind, shown = part.get_content_type(), part.get_content_disposition()
+    if part.is_multipart() or kind.startswith("message/"):
+        return False
+    return (shown == "attachment" or bool(part.get_filename())) and not (kind.startswith("image/") and (shown == "inline" or part.get("Content-ID")))
+
+
+def _mail_body(parts: list) -> str:
+    """Plain text of 20 characters or more without html; else html if it is longer than plain; else plain. Inline images are named."""
+    texts = {"text/plain": [], "text/html": []}
+    for p in parts:
+        if p.get_content_type() in texts and not p.get_filename() and p.get_content_disposition() != "attachment":
+            texts[p.get_content_type()].append(_mail_text(p))
+    plain, web = ("\n".join(texts[k]).strip() for k in ("text/plain", "text/html"))
+    if len(plain) >= 20 and not web or not web:
+        return re.sub(r"\r\n?", "\n", plain)
+    names = {(p.get("Content-ID") or "").strip(" <>"): p.get_filename() or "" for p in parts}
+    shown = re.sub(r"""<img\b[^>]*src\s*=\s*["']cid:([^"']+)["'][^>]*>""", lambda m: f"[内嵌图片: {names.get(m[1].strip('<>')) or m[1]}]", web, flags=re.I)
+    body = "\n\n".join(("> " if b.kind == "quote" else "") + b.text for b in decode_html(shown.encode("utf-8", "replace")) if b.text)
+    return body if len(body) > len(plain) else re.sub(r"\r\n?", "\n", plain)
+
+
 def decode_eml(content: bytes, depth: int = 0) -> list[Block]:
-    mail = message_from_bytes(content, policy=policy.default)
-    heads = [[k, str(mail.get(k, ""))] for k in ("From", "To", "Cc", "Date", "Subject") if mail.get(k)]
-    plain = web = ""
-    attached: list[tuple[str, bytes]] = []
-    nested: list[bytes] = []
-    for part in mail.walk() if mail.is_multipart() else [mail]:
-        kind = part.get_content_type()
-        if kind == "message/rfc822":
-            nested += [bytes(p) for p in part.get_payload()] if depth < MAX_DEPTH else []
-        elif part.is_multipart() or kind == "message/delivery-status":
+    """Header table with the attachments' names, body with long quotations folded, nested mails to a depth, attachments within budgets."""
+    return _mail_blocks(message_from_bytes(content, policy=policy.default), depth)
+
+
+def _mail_blocks(mail, depth: int) -> list[Block]:
+    nested, parts, queue = [], [], [mail]
+    while queue:  # parts of nested mails are theirs
+        part = queue.pop(0)
+        if part.get_content_type() == "message/rfc822" and part is not mail:
+            nested += part.get_payload() if isinstance(part.get_payload(), list) else []
+        elif part.get_content_type() == "message/delivery-status":
             continue
-        elif part.get_content_disposition() == "attachment" or part.get_filename():
-            if not (kind.startswith("image/") and part.get_content_disposition() == "inline"):
-                attached.append((part.get_filename() or "unnamed", part.get_payload(decode=True) or b""))
-        elif kind == "text/plain" and not plain:
-            plain = _mail_text(part)
-        elif kind == "text/html" and not web:
-            web = _mail_text(part)
-    body = decode_html(web.encode()) if web else []
-    if len(plain.strip()) >= 20 and not web or len(plain) >= sum(len(b.text) for b in body):
-        body = decode_text(plain.encode())
-    out = [Block("h", 1, str(mail.get("Subject", "")) or "-"), Block("table", 0, "", [["Field", "Value"], *heads])] if heads else []
-    out += body
-    for name, data in attached:
-        out.append(Block("h", 2, name))
+        elif part.is_multipart():
+            queue = [*part.iter_parts(), *queue] if hasattr(part, "iter_parts") else [*part.get_payload(), *queue]
+        else:
+            parts.append(part)
+    attached = [(p.get_filename() or "unnamed", p) for p in parts if _is_attached(p)]
+    data_of = {id(p): p.get_payload(decode=True) or b"" for _, p in attached}
+    rows = [[k, str(mail.get(k, ""))] for k in ("From", "To", "Cc", "Date", "Subject") if mail.get(k)]
+    if attached and rows:
+        listed = "、".join(f"{n} ({_size_text(len(data_of[id(p)]))})" for n, p in attached[:8])
+        rows.append(["附件", listed + (f" 等 {len(attached)} 个" if len(attached) > 8 else "")])
+    out = [Block("h", 1, str(mail.get("Subject", "")) or "-"), Block("table", 0, "", [["Field", "Value"], *rows])] if rows else []
+    body, note = collapse_quoted(_mail_body(parts))
+    out += [Block("p", 0, body.strip())] if body.strip() else []
+    out += [Block("quote", 0, note)] if note else []
+    for k, one in enumerate(nested if depth < MAX_NESTED else [], 1):
+        out += [Block("hr", 0, ""), Block("h", 2, f"内嵌邮件 {k}: {one.get('Subject', '') or '(无主题)'}"), *_mail_blocks(one, depth + 1)]
+    used_bytes = used_chars = 0
+    for k, (name, part) in enumerate(attached, 1):
+        data = data_of[id(part)]
+        over = "size" if len(data) > MAX_ATTACHED else "size of all attachments" if used_bytes + len(data) > MAX_ATTACHED_ALL else "characters" if used_chars >= MAX_MAIL_CHARS else ""
+        if over:
+            out.append(Block("quote", 0, f"{name} ({_size_text(len(data))}) left out at the limit of {over}"))
+            if over != "characters":
+                continue
+        used_bytes += len(data)
+        if over or not data:
+            continue
+        out.append(Block("h", 3, f"附件 {k}/{len(attached)}: {name}（{_size_text(len(data))}）"))
         kind = sniff(data, name)
         try:
-            out += decode(data, kind) if kind in DECODERS and kind != "eml" else [Block("p", 0, f"{len(data)} bytes")]
+            blocks = decode(data, kind) if kind in DECODERS and kind not in ("eml", "msg") else [Block("p", 0, f"{len(data)} bytes")]
         except DecodeError as e:
-            out.append(Block("quote", 0, e.code))
-    for data in nested:
-        out += decode_eml(data, depth + 1)
+            blocks = [Block("quote", 0, e.code)]
+        kept, left = [], MAX_ATTACHED_CHARS
+        for b in blocks:
+            size = len(b.text) + sum(len(c) for r in b.rows or () for c in r)
+            if size > left:
+                kept += [b._replace(text=b.text[:left])] if b.rows is None and left > 0 else []
+                kept.append(Block("quote", 0, "cut at the limit of characters"))
+                left = 0
+                break
+            kept.append(b)
+            left -= size
+        used_chars += MAX_ATTACHED_CHARS - left
+        out += kept
     return out
 
 
@@ -586,7 +710,7 @@ DECODERS: dict[str, Callable[[bytes], list[Block]]] = {
     "xlsx": decode_xlsx, "pptx": decode_pptx, "odt": decode_odt, "ofd": decode_ofd, "eml": decode_eml,
     "xls": decode_xls, "doc": decode_doc, "msg": decode_msg, "pdf": decode_pdf,
 }
-ALIASES = {"htm": "html", "xhtml": "html", "wpsx": "docx", "dpsx": "pptx", "markdown": "md", "tgz": "gz", "et": "xls", "etx": "xlsx", "wps": "doc"}
+ALIASES = {"htm": "html", "xhtml": "html", "wpsx": "docx", "dpsx": "pptx", "markdown": "md", "tgz": "gz", "tbz2": "bz2", "txz": "xz", "et": "xls", "etx": "xlsx", "wps": "doc"}
 ARCHIVES = {"zip", "gz", "bz2", "xz", "tar"}
 #: Formats that need a program or library that isn't here; they give a typed error.
 EXTERNAL = {"chm": "unsupported_format", "ole": "unsupported_format", "ppt": "unsupported_format", "rar": "unsupported_format", "7z": "unsupported_format", "bin": "unsupported_format"}
@@ -655,14 +779,23 @@ def decoded(content: bytes, name: str, depth: int = 0) -> Iterator[tuple[str, st
 _BLOCK = pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))])
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(_BLOCK), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["source", "path", "kind", "blocks", "error", "detail"])
+
+
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = list(decoded(content or b"", path or ""))
-            columns = list(zip(*((p, k, [b._asdict() for b in blocks], code or None, detail or None) for p, k, blocks, code, detail in found), strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.string(), pa.list_(_BLOCK), pa.string(), pa.string()]
-            source = pa.array([path] * len(found), pa.string())
-            yield pa.RecordBatch.from_arrays([source, *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], ["source", "path", "kind", "blocks", "error", "detail"])
+            rows, size = [], 0
+            for p, k, blocks, code, detail in decoded(content or b"", path or ""):
+                rows.append((path, p, k, [b._asdict() for b in blocks], code or None, detail or None))
+                size += sum(len(b.text) + sum(len(c) for r in b.rows or () for c in r) for b in blocks)
+                if size > BATCH_CHARS:  # the files of a large archive go on in parts
+                    yield _rows(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _rows(rows)
 
 
 def decode_files(files: DataFrame) -> DataFrame:
