@@ -39,7 +39,7 @@ def budget_greedy_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.split("line", " ")
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).filter("at < 20")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     return lines.select("doc_id", F.col("at").cast("long").alias("at"), F.array_join(F.slice(cells, 1, 80), "|").alias("row"), (F.size(cells) > 80).alias("clamped"))
 
 
@@ -187,7 +187,7 @@ QUERIES = {
         budget_greedy_attachments,
         f"WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations), g AS (SELECT conv_id, 0 AS k, 0::BIGINT AS used, NULL::BIGINT AS turn, NULL::VARCHAR AS verdict FROM (SELECT DISTINCT conv_id FROM t) UNION ALL SELECT t.conv_id, t.k, CASE WHEN s <= {SINGLE} AND used + s <= {TOTAL} THEN used + s ELSE used END, t.turn, CASE WHEN s > {SINGLE} THEN 'too large' WHEN used + s <= {TOTAL} THEN 'kept' ELSE 'over budget' END FROM g JOIN t ON t.conv_id = g.conv_id AND t.k = g.k + 1) SELECT conv_id, turn, verdict FROM g WHERE k > 0",
     ),
-    "column_clamp": (column_clamp, "SELECT doc_id, CAST(pos - 1 AS BIGINT) AS at, array_to_string(string_split(line, ' ')[:80], '|') AS row, len(string_split(line, ' ')) > 80 AS clamped FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE pos <= 20".replace(" AS at", ' AS "at"').replace(" AS row", ' AS "row"')),
+    "column_clamp": (column_clamp, "SELECT doc_id, CAST(pos - 1 AS BIGINT) AS at, array_to_string(string_split(line, ' ')[:80], '|') AS row, len(string_split(line, ' ')) > 80 AS clamped FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)".replace(" AS at", ' AS "at"').replace(" AS row", ' AS "row"')),
     "gap_islands": (gap_islands, "SELECT user_id, island, count(*) AS n, min(sec) AS first_sec, max(sec) AS last_sec FROM (SELECT user_id, sec, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (SELECT user_id, event_id, sec, CASE WHEN sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) > 3600 THEN 1 ELSE 0 END AS fresh FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events))) GROUP BY user_id, island"),
     "last_events": (last_events, "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 20"),
     "round_robin_pilot": (round_robin_pilot, "SELECT source, doc_id, turn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source LIMIT 50"),

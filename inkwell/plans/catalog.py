@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import budget_plans, format_plans, more_plans, quality_plans, stream_plans, sync_plans, text_plans
+from . import budget_plans, format_plans, more_plans, quality_plans, rule_plans, stream_plans, sync_plans, text_plans
 
-MODULES = (quality_plans, text_plans, sync_plans, budget_plans, format_plans, more_plans, stream_plans)
+MODULES = (quality_plans, text_plans, sync_plans, budget_plans, format_plans, more_plans, rule_plans, stream_plans)
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -30,7 +30,7 @@ def _esc(text: str) -> str:
 
 
 def pack(kind: str, words: list[str]) -> bytes:
-    """A small file of the kind that holds the words as paragraphs (a table's row in sheets)."""
+    """A file of the kind that holds the words as paragraphs (rows of a table in sheets)."""
     if kind == "docx":
         body = "".join(f"<w:p><w:r><w:t>{_esc(w)}</w:t></w:r></w:p>" for w in words)
         return _zip_of({"[Content_Types].xml": "<x/>", "word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'})
@@ -38,7 +38,7 @@ def pack(kind: str, words: list[str]) -> bytes:
         body = "".join(f"<a:p><a:r><a:t>{_esc(w)}</a:t></a:r></a:p>" for w in words)
         return _zip_of({"ppt/presentation.xml": "<x/>", "ppt/slides/slide1.xml": f'<p:sld xmlns:p="p" xmlns:a="a">{body}</p:sld>'})
     if kind == "xlsx":
-        cells = "".join(f'<c r="{chr(65 + i)}1" t="inlineStr"><is><t>{_esc(w)}</t></is></c>' for i, w in enumerate(words))
+        cells = "</row><row>".join(f'<c r="A{i}" t="inlineStr"><is><t>{_esc(w)}</t></is></c>' for i, w in enumerate(words, 1))
         return _zip_of({"xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<R><Relationship Id="r1" Target="worksheets/s.xml"/></R>', "xl/worksheets/s.xml": f"<worksheet><sheetData><row>{cells}</row></sheetData></worksheet>"})
     if kind == "odt":
         return _zip_of({"META-INF/manifest.xml": "<x/>", "content.xml": "<c>" + "".join(f"<p>{_esc(w)}</p>" for w in words) + "</c>"})
@@ -59,27 +59,38 @@ def pack(kind: str, words: list[str]) -> bytes:
 KINDS = ("docx", "pptx", "xlsx", "odt", "ofd", "rtf", "eml", "zip", "txt", "pdf")
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        kinds = [KINDS[i % len(KINDS)] for i in ids]
-        data = [b"%PDF-1.4 x" if k == "pdf" else pack(k, w) for k, w in zip(kinds, words, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([f"{i}.{k}" for i, k in zip(ids, kinds, strict=True)]), pa.array(data, pa.binary())], ["path", "content"])
+def _packed(all_kinds: tuple[str, ...]):
+    """Each document as a file of one of the kinds, in turns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                ids, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                kinds = [all_kinds[i % len(all_kinds)] for i in ids]
+                data = [b"%PDF-1.4 x" if k == "pdf" else pack(k, w) for k, w in zip(kinds, words, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{i}.{k}" for i, k in zip(ids, kinds, strict=True)]), pa.array(data, pa.binary())], ["path", "content"])
+
+    return run, "path string, content binary"
+
+
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of each document that aren't blank, trimmed, with single blanks."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
 
 
 def decode_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents packed in ten formats and decoded: the same text again, or the error of the format."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != ""), 1, 5).alias("lines"))
-    out = decode_files(lines.mapInArrow(_packed, "path string, content binary"))
+    """Whole documents packed in ten formats and decoded: the same text again, or the error of the format."""
+    out = decode_files(_document_lines(spark, sf_dir).mapInArrow(*_packed(KINDS)))
     plain = F.filter("blocks", lambda b: ~((b["kind"] == "h") | (b["kind"] == "table") & F.endswith(F.col("path"), F.lit(".eml"))))
     text = F.array_join(F.transform(plain, lambda b: F.when(b["kind"] == "table", F.array_join(F.flatten(b["rows"]), "\n")).otherwise(b["text"])), "\n")
     return out.select("path", "kind", F.coalesce("error", F.lit("")).alias("error"), F.sha2(text, 256).alias("text_sha"))
 
 
 def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outputs and failures of each archive: the rows of its manifest."""
-    words = table(spark, sf_dir, "documents").filter("doc_id % 10 = 7").select("doc_id", F.array(F.col("source"), F.col("lang")).alias("words"))
-    out = decode_files(words.mapInArrow(_packed, "path string, content binary"))
+    """Outputs and failures of each document's archive: the rows of its manifest."""
+    out = decode_files(_document_lines(spark, sf_dir).mapInArrow(*_packed(("zip",))))
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("error").isNotNull().cast("long")).alias("failed"), F.sum(F.length(F.array_join(F.transform("blocks", lambda b: b["text"]), "")).cast("long")).alias("chars"))
 
 
@@ -125,7 +136,8 @@ def image_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.transform(F.slice(F.split("text", " "), 1, 60), lambda x: F.trim(x))
+    """Lines that begin a longer line of the same document."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))
     return table(spark, sf_dir, "documents").select("doc_id", geometry.prefix_pairs(lines).cast("long").alias("pairs"))
 
 
@@ -149,7 +161,7 @@ def drop_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.drop_contained(boxes, "image").select("image", "box")
 
 
-_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')[:5]"
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')"
 _BOX = "SELECT i % 6 AS image, i AS box, i % 50 * 20 AS x, i // 50 * 30 AS y, 25 AS w, 20 AS h, substr('abcdefgh', 1, i % 7 + 2) AS t FROM range(600) r(i)"
 
 QUERIES = {
@@ -159,7 +171,7 @@ QUERIES = {
         "SELECT CAST(doc_id AS VARCHAR) || '.' || k || CASE WHEN k = 'zip' THEN '/d/a.txt' ELSE '' END AS path, CASE WHEN k = 'zip' THEN 'txt' ELSE k END AS kind, CASE WHEN k = 'pdf' THEN 'needs_ocr' ELSE '' END AS error, sha256(CASE WHEN k = 'pdf' THEN '' ELSE t END) AS text_sha FROM d "
         "UNION ALL SELECT CAST(doc_id AS VARCHAR) || '.zip/b.docx', 'docx', 'malformed_document', sha256('') FROM d WHERE k = 'zip'",
     ),
-    "archive_summary": (archive_summary, "SELECT CAST(doc_id AS VARCHAR) || '.zip' AS source, CAST(2 AS BIGINT) AS n, CAST(1 AS BIGINT) AS failed, CAST(length(source || lang) + 1 AS BIGINT) AS chars FROM documents WHERE doc_id % 10 = 7"),
+    "archive_summary": (archive_summary, f"SELECT CAST(doc_id AS VARCHAR) || '.zip' AS source, CAST(2 AS BIGINT) AS n, CAST(1 AS BIGINT) AS failed, CAST(length(array_to_string({_LINES}, chr(10))) AS BIGINT) AS chars FROM documents"),
     "html_to_markdown": (html_to_markdown, None),
     "html_title_links_images": (html_title_links_images, "SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '(?i)<img\\s')) AS BIGINT) AS n_images, CAST(length(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g')) AS BIGINT) AS n_left FROM pages"),
     "csv_to_markdown": (csv_to_markdown, "SELECT CAST(n_regionkey AS VARCHAR) || '.csv' AS path, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' |', chr(10) ORDER BY CAST(n_nationkey AS VARCHAR) || ',' || n_name) AS markdown FROM nation GROUP BY n_regionkey"),
@@ -169,7 +181,7 @@ QUERIES = {
         image_tiles,
         "WITH s AS (SELECT doc_id, 200 + n_chars % 3000 AS w, 100 + (n_chars * 7) % 2500 AS h FROM documents), xs AS (SELECT DISTINCT doc_id, w, h, unnest(CASE WHEN w <= 960 THEN [0::BIGINT] ELSE list_append(range(0, w - 960 + 1, 864), w - 960) END) AS x0 FROM s), xy AS (SELECT DISTINCT *, unnest(CASE WHEN h <= 960 THEN [0::BIGINT] ELSE list_append(range(0, h - 960 + 1, 864), h - 960) END) AS y0 FROM xs) SELECT doc_id, x0, y0, least(w, x0 + 960) AS x1, least(h, y0 + 960) AS y1 FROM xy",
     ),
-    "prefix_pairs": (prefix_pairs, "SELECT doc_id, CAST(len(list_filter(ls, lambda a: len(list_filter(ls, lambda b: length(a) < length(b) AND starts_with(b, a))) > 0)) AS BIGINT) AS pairs FROM (SELECT doc_id, list_filter(list_transform(string_split(text, ' ')[:60], lambda x: trim(x)), lambda x: length(x) >= 2) AS ls FROM documents)"),
+    "prefix_pairs": (prefix_pairs, "SELECT doc_id, CAST(len(list_filter(ls, lambda a: len(list_filter(ls, lambda b: length(a) < length(b) AND starts_with(b, a))) > 0)) AS BIGINT) AS pairs FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 2) AS ls FROM documents)"),
     "ocr_quality": (ocr_quality, "SELECT doc_id, CASE WHEN doc_id % 37 = 0 THEN 'unknown' WHEN doc_id % 31 = 0 THEN 'no_text' WHEN doc_id % 4 > 0 AND doc_id % 5 = 0 AND doc_id % 7 >= 2 THEN 'low' WHEN doc_id % 4 > 0 AND doc_id % 3 > 0 AND (doc_id % 10) / 10 < 0.62 THEN 'low' WHEN doc_id % 4 > 0 AND doc_id % 3 > 0 THEN 'ok' WHEN doc_id % 4 = 0 AND doc_id % 400 >= 200 THEN 'no_text' ELSE 'unknown' END AS level FROM documents"),
     "range_join_cells": (range_join_cells, "SELECT i % 10 AS image, (i * 37 % 400) // 90 AS lane, (i * 53 % 330) // 100 AS band, count(*) AS n FROM range(5000) r(i) WHERE (i * 37 % 400) < 360 AND (i * 53 % 330) < 300 GROUP BY ALL"),
     "drop_fragments": (drop_fragments, f"WITH b AS ({_BOX}) SELECT image, box FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.image = b.image AND length(b.t) < length(o.t) AND contains(o.t, b.t) AND b.x <= o.x + o.w + 10 AND o.x <= b.x + b.w + 10 AND least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y) >= 0.5 * least(b.h, o.h))"),

@@ -11,6 +11,10 @@ from inkwell.operators.aggregates import percent
 from inkwell.sources.tables import table
 
 
+#: Fixed value: characters of a document that a knowledge base takes.
+PUSH_CHARS = 195_000
+
+
 def _pick(names: list[str], i: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
 
@@ -183,13 +187,15 @@ def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recognised_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised text as a quote between marks, with a note where it is of low quality."""
-    t = F.array_join(F.transform(F.split(F.substring("text", 1, 80), "\n", -1), lambda x: F.concat(F.lit("> "), x)), "\n")
+    t = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("> "), x)), "\n")
     note = F.when(F.col("doc_id") % 4 == 0, "\n> (low)").otherwise("")
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("> [text]\n"), t, note, F.lit("\n> [/text]")).alias("quote"))
 
 
 def push_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.substring("text", 1, 3000)).cast("long").alias("n"), (F.length("text") > 3000).alias("cut"))
+    """Texts over the cap of a knowledge base are cut; here they are repeated so that some are."""
+    text = F.repeat("text", F.lit(9))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.substring(text, 1, PUSH_CHARS)).cast("long").alias("n"), (F.length(text) > PUSH_CHARS).alias("cut"))
 
 
 _GRID = "SELECT i % 20 AS image, i AS box, i * 37 % 500 AS x, i * 53 % 300 AS y, i % 5 + 10 AS h, ['a', 'b', 'c'][i * 7 % 11 % 3 + 1] AS t FROM range(2000) r(i)"
@@ -221,6 +227,6 @@ QUERIES = {
     "cell_texts": (cell_texts, "SELECT cell, string_agg(CASE WHEN gap > 19.2 THEN '<br>' ELSE '' END || t, '' ORDER BY y, box) AS text FROM (SELECT *, y - lag(y + 12) OVER (PARTITION BY cell ORDER BY y, box) AS gap FROM (SELECT i % 40 AS cell, i AS box, i // 40 * 30 + CASE WHEN i % 3 = 0 THEN 25 ELSE 0 END AS y, ['p', 'q'][i % 2 + 1] AS t FROM range(400) r(i))) GROUP BY cell"),
     "mail_heads": (mail_heads, "SELECT l_suppkey, '| 附件 | ' || array_to_string(a[:8], ', ') || CASE WHEN len(a) > 8 THEN ' 等 ' || CAST(len(a) AS VARCHAR) || ' 个' ELSE '' END || ' |' AS row FROM (SELECT l_suppkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_orderkey, l_linenumber, l_partkey) AS a FROM lineitem GROUP BY 1)".replace(" AS row", ' AS "row"')),
     "nested_index": (nested_index, "SELECT r_name, '- ' || r_name || chr(10) || string_agg('  - [' || n_name || '](' || replace(n_name, ' ', '%20') || '.md)', chr(10) ORDER BY n_name) AS \"index\" FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
-    "recognised_quotes": (recognised_quotes, "SELECT doc_id, '> [text]' || chr(10) || array_to_string(list_transform(string_split(substr(text, 1, 80), chr(10)), lambda x: '> ' || x), chr(10)) || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '> (low)' ELSE '' END || chr(10) || '> [/text]' AS quote FROM documents"),
-    "push_cap": (push_cap, "SELECT doc_id, CAST(length(substr(text, 1, 3000)) AS BIGINT) AS n, length(text) > 3000 AS cut FROM documents"),
+    "recognised_quotes": (recognised_quotes, "SELECT doc_id, '> [text]' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: '> ' || x), chr(10)) || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '> (low)' ELSE '' END || chr(10) || '> [/text]' AS quote FROM documents"),
+    "push_cap": (push_cap, f"SELECT doc_id, CAST(length(substr(t, 1, {PUSH_CHARS})) AS BIGINT) AS n, length(t) > {PUSH_CHARS} AS cut FROM (SELECT doc_id, repeat(text, 9) AS t FROM documents)"),
 }

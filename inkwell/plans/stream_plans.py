@@ -12,6 +12,10 @@ from inkwell.sources.tables import table
 from inkwell.streaming import ingest
 
 
+#: Longer than the events' whole time, so that each user and type comes once.
+WITHIN = "3650 days"
+
+
 def _folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -27,11 +31,13 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First event of each user and type in a stream, kept by state."""
+    """First event of each user and type in a stream. State is kept for WITHIN of event time; a batch that runs again replaces its rows."""
     top = _folder(spark)
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    ingest.run_available(events.select("user_id", "event_type").dropDuplicates(), lambda df, i: df.write.mode("append").parquet(f"{top}/out"), f"{top}/checkpoint", "append")
-    return spark.read.parquet(f"{top}/out")
+    timed = events.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", WITHIN)
+    first = timed.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
+    ingest.run_available(first, lambda df, i: df.write.mode("overwrite").parquet(f"{top}/out/batch={i}"), f"{top}/checkpoint", "append")
+    return spark.read.parquet(f"{top}/out").select("user_id", "event_type")
 
 
 QUERIES = {
