@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash, tidy
+from .suffix_dedup import _hashes as span_hashes
+from .suffix_dedup import _prefix as byte_prefix
 
 SHINGLE = 5
 THRESHOLD = 0.8
 CELL = 256
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 CELL_BYTES = 8 << 20
+#: Members up to which groups are compared together, and pairs of these at a time.
+SMALL, PAIRS = 32, 20_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -48,6 +54,32 @@ def gram_hashes(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts of a column of strings, on end: 64-bit hashes of their words (between ASCII white space), how many
+    words each text has, and how many each of its lines has that has one. Bytes are hashed without Python objects."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    flat = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    word = ~_SPACES[flat]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    some = edges[1:] > edges[:-1]  # a text's own edges are edges of words
+    begins[edges[:-1][some]] = word[edges[:-1][some]]
+    ends[edges[1:][some] - 1] = word[edges[1:][some] - 1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    prefix = byte_prefix(flat, 0)
+    hashes = span_hashes(prefix, 0, begins, ends) ^ (ends - begins).astype(np.uint64)
+    n_words = np.diff(np.searchsorted(begins, edges))
+    breaks = np.flatnonzero(flat == 10)
+    line = np.searchsorted(breaks, begins) + np.searchsorted(edges, begins, "right")  # a text or a line end begins another line
+    change = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+    return hashes, n_words, np.diff(np.append(change, len(line)))
+
+
 def least_of_runs(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of `width` values."""
     size = 1
@@ -71,12 +103,17 @@ def window_starts(grams: np.ndarray, begins: np.ndarray, ends: np.ndarray, size:
     return np.unique((least[: len(end_of)][inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of runs of `size` words; of a shorter text, one hash of all its words; of no word, none."""
-    words = (text or "").split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(word_hashes(words), min(size, len(words))))
+def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of runs of `size` words; of a shorter text, one hash of all its words; of no word, none."""
+    words, n_words, _ = column_words(column)
+    grams, ends = gram_hashes(words, size), np.cumsum(n_words)
+    out = []
+    for end, n in zip(ends.tolist(), n_words.tolist(), strict=True):
+        if n >= size:
+            out.append(np.unique(grams[end - n : end - size + 1]))
+        else:
+            out.append(gram_hashes(words[end - n : end], n) if n else np.zeros(0, np.uint64))
+    return out
 
 
 def minhashes(items: np.ndarray, n: int) -> np.ndarray:
@@ -198,33 +235,82 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return link & (size[:, None] > 0) & (size[None, :] > 0)
 
 
-def verifier(threshold: float = THRESHOLD, to_set: Callable[[str | None], np.ndarray] = shingles):
+def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, a, b) of every two members of each group; members are numbered through all groups."""
+    begins = np.cumsum(sizes) - sizes
+    later = np.repeat(sizes, sizes) - 1 - (np.arange(int(sizes.sum())) - np.repeat(begins, sizes))  # members behind each in its group
+    a = np.repeat(np.arange(len(later)), later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    return np.repeat(np.arange(len(sizes)), sizes)[a], a, b
+
+
+def _common_of_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How much sets[a] and sets[b] have in common, for each pair, without a loop over pairs."""
+    size = np.array([len(s) for s in sets], np.int64)
+    items, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    have = np.repeat(np.arange(len(sets)), size) * len(items) + number  # sorted, as members and their items are
+    begins = np.cumsum(size) - size
+    out = np.zeros(len(a), np.int64)
+    for at in range(0, len(a), PAIRS):
+        x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+        of = np.repeat(np.arange(len(x)), size[x])
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size[x]) - size[x], size[x]) + begins[x][of]
+        asked = number[place] + y[of] * len(items)
+        found = np.minimum(np.searchsorted(have, asked), max(0, len(have) - 1))
+        out[at : at + PAIRS] = np.bincount(of, have[found] == asked, len(x)).astype(np.int64) if len(of) else 0
+    return out
+
+
+def verifier(threshold: float = THRESHOLD):
     """For rows i, j, members (mine, rid, weight, body): links of each member, and edges that join what is linked."""
 
+    def links(sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b) of the linked members: small groups together, others one by one."""
+        n = np.array([len(s) for s in sets])
+        small = sizes <= SMALL
+        begins = np.cumsum(sizes) - sizes
+        chosen = np.flatnonzero(np.repeat(small, sizes))
+        _, a, b = _pairs(sizes[small])
+        both = _common_of_pairs([sets[k] for k in chosen], a, b)
+        a, b = chosen[a], chosen[b]
+        link = (both >= threshold * (n[a] + n[b] - both) - 1e-9) & (n[a] > 0) & (n[b] > 0)
+        found = [(a[link], b[link])]
+        for at, size in zip(begins[~small], sizes[~small], strict=True):
+            x, y = np.nonzero(np.triu(linked(sets[at : at + size], threshold)))
+            found.append((x + at, y + at))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows = list({m["rid"]: m for m in members.as_py()}.values())
-                if len(rows) < 2:
-                    continue
-                link = linked([to_set(m["body"]) for m in rows], threshold)
-                if i != j:  # pairs inside a cell are counted where it meets itself
-                    mine = np.array([m["mine"] for m in rows])
-                    link &= mine[:, None] != mine[None, :]
-                weight = np.array([m["weight"] for m in rows])
-                texts, docs = link.sum(1), link @ weight
-                out += [(m["rid"], None, int(t), int(d)) for m, t, d in zip(rows, texts, docs, strict=True) if t]
-                out += [(rows[a]["rid"], rows[b]["rid"], 0, 0) for a, b in forest(np.nonzero(np.triu(link)), len(rows))]
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rid", "other", "texts", "docs"])
-
-    return tidy(run, forget), "rid long, other long, texts long, docs long"
-
-
-def verified(members: DataFrame, group: str = "comp", threshold: float = THRESHOLD, to_set: Callable[[str | None], np.ndarray] = shingles) -> tuple[DataFrame, DataFrame]:
+            members = batch.column(2)
+            flat = members.flatten()
+            mine, rid, weight = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("mine", "rid", "weight"))
+            group = np.repeat(np.arange(batch.num_rows), pc.list_value_length(members).to_numpy(zero_copy_only=False))
+            order = np.lexsort((rid, group))
+            new = np.concatenate([[True], (rid[order][1:] != rid[order][:-1]) | (group[order][1:] != group[order][:-1])]) if len(order) else np.zeros(0, bool)
+            order = order[new]
+            many = np.bincount(group[order], minlength=batch.num_rows)
+            order = order[many[group[order]] > 1]
+            mine, rid, weight, group = mine[order], rid[order], weight[order], group[order]
+            a, b = links(shingle_sets(flat.field("body").take(pa.array(order))), many[many > 1])
+            apart = (batch.column(0).to_numpy(zero_copy_only=False) != batch.column(1).to_numpy(zero_copy_only=False))[group[a]]
+            counts = ~apart | (mine[a] != mine[b])  # pairs inside a cell are counted where it meets itself
+            a, b = a[counts], b[counts]
+            texts = np.bincount(np.concatenate([a, b]), minlength=len(rid))
+            docs = np.bincount(np.concatenate([a, b]), np.concatenate([weight[b], weight[a]]), len(rid)).astype(np.int64)
+            some = np.flatnonzero(texts)
+            kept = forest((a, b), len(rid))
+            x, y = (np.array(c, np.int64) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64),) * 2
+            nothing, none = np.zeros(len(x), np.int64), pa.nulls(len(some), pa.int64())
+            columns = [np.concatenate([rid[some], rid[x]]), pa.concat_arrays([none, pa.array(rid[y], pa.int64())]), np.concatenate([texts[some], nothing]), np.concatenate([docs[some], nothing])]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], ["rid", "other", "texts", "docs"])
+
+    return tidy(run), "rid long, other long, texts long, docs long"
+
+
+def verified(members: DataFrame, group: str = "comp", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(rid, texts, docs: counts of links) and (a, b: edges) of dealt members (rid, weight, body, k, mine) of candidate groups."""
     meet = meeting(members).groupBy(group, "i", "j").agg(F.collect_list(F.struct("mine", "rid", "weight", "body")).alias("members"))
-    found = stash(meet.select("i", "j", "members").mapInArrow(*verifier(threshold, to_set)), "links")
+    found = stash(meet.select("i", "j", "members").mapInArrow(*verifier(threshold)), "links")
     counts = found.filter("other IS NULL").groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     return counts, found.filter("other IS NOT NULL").select(F.col("rid").alias("a"), F.col("other").alias("b"))

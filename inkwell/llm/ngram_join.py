@@ -9,7 +9,7 @@ the links of each node are counted where they are found: no pair is ever a row,
 Losses: a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7, and is pruned with
 about TOLERANCE. Nodes are known by 64-bit hashes.
 
-Defined results: a text of fewer than five words is one shingle; null, empty and blank texts link to nothing and
+Defined results: words stand between ASCII white space; a text of fewer than five words is one shingle; null, empty and blank texts link to nothing and
 are classes of their own; repeated rows get one row each, and count as copies of each other.
 """
 
@@ -20,13 +20,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import row_of, small_batches, stash, table, tidy
-from .near import THRESHOLD, band_keys, components, dealt, forest, forget, meeting, minhashes, shingles, verified
+from .near import THRESHOLD, band_keys, components, dealt, forest, meeting, minhashes, shingle_sets, verified
 
 BANDS, ROWS = 32, 4
 STEP = 16
@@ -35,23 +36,26 @@ BUCKET_CELL = 512
 _NO_ID = -(1 << 63)
 
 
+def _rid(items: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
             rids, bands, low = [], [], []
-            sizes = [len(t or "") for t in batch.column(1).to_pylist()]
-            for text in batch.column(1).to_pylist():
-                items = shingles(text)
+            for items in shingle_sets(batch.column(1)):
                 if len(items):
                     signature = minhashes(items, BANDS * ROWS)
-                    rids.append(xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63))
+                    rids.append(_rid(items))
                     bands.append(band_keys(signature, BANDS, ROWS))
                     low.append((signature & 255).astype(np.uint8).tobytes())
                 else:
                     rids.append(None), bands.append(None), low.append(None)
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip((rids, bands, low, sizes), kinds, strict=True))], ["doc_id", "rid", "bands", "low", "size"])
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).cast(pa.int64())
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip((rids, bands, low), kinds, strict=True)), sizes], ["doc_id", "rid", "bands", "low", "size"])
 
 
 def cutoffs(threshold: float, tolerance: float = TOLERANCE, total: int = BANDS * ROWS, step: int = STEP) -> list[tuple[int, int]]:
@@ -101,7 +105,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of what hangs together by links), copy_id (least doc_id with the same shingles), n_links, n_linked_texts."""
     small_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    signed = stash(own.mapInArrow(tidy(_signed, forget), "doc_id long, rid long, bands array<long>, low binary, size long"), "signed")
+    signed = stash(own.mapInArrow(tidy(_signed), "doc_id long, rid long, bands array<long>, low binary, size long"), "signed")
     nodes = signed.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
     nodes = stash(nodes, "nodes")
     # one row a node: copies have equal bands
@@ -137,10 +141,10 @@ def _own_text(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [xxhash.xxh64_intdigest(shingles(t).tobytes()) - (1 << 63) == r for r, t in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            same = [_rid(items) == r for r, items in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(3)), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    return members.mapInArrow(tidy(run, forget), members.schema)
+    return members.mapInArrow(tidy(run), members.schema)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -161,7 +165,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _with_rid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rids = [xxhash.xxh64_intdigest(shingles(t).tobytes()) - (1 << 63) for t in batch.column(0).field("text").to_pylist()]
+        rids = [_rid(items) for items in shingle_sets(batch.column(0).field("text"))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rids, pa.int64())], [*batch.schema.names, "_rid"])
 
 

@@ -4,9 +4,10 @@ import collections
 import hashlib
 import itertools
 
+import numpy as np
 import pytest
 
-from inkwell.llm import decontamination, html_text, line_dedup, ngram_join, registry, sentence_piece, suffix_dedup
+from inkwell.llm import decontamination, html_text, line_dedup, near, ngram_join, registry, sentence_piece, suffix_dedup
 from inkwell.llm.near import components
 
 
@@ -277,6 +278,8 @@ def test_cells_let_every_pair_meet_once(spark):
     texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(0, 40, 3)] + [" ".join(words)] * 1
     members = spark.createDataFrame([(1, i, 1, t, len(t)) for i, t in enumerate(texts)], "comp long, rid long, weight long, body string, size long")
     small = dealt(members, "comp", cell=3)
+    for sizes in ([2, 40, 3], [33, 1, 2]):  # groups that are compared together and one by one
+        assert [len(x) for x in near._pairs(np.array(sizes))[1:]] == [sum(n * (n - 1) // 2 for n in sizes)] * 2
     assert small.agg(F.max("k")).first()[0] > 1
     got = {r.rid: r.texts for r in verified(small)[0].collect()}
     links = collections.Counter(x for p in near_pairs([shingle_set(t) for t in texts]) for x in p)
@@ -315,3 +318,11 @@ def test_op6_checked_ids(spark, small, docs):
     want = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in rows(sentence_piece.encode_documents(spark.read.parquet(f"{small}/documents.parquet"))))
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
     assert all(r["n_ids"] == len(r["ids"]) and r["parity"] for r in got)
+
+
+def test_intersections_of_pairs():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (5, 0, 30, 12, 1, 25)]
+    _, a, b = near._pairs(np.array([4, 2]))
+    assert near._common_of_pairs(sets, a, b).tolist() == [len(set(sets[x]) & set(sets[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert near._common_of_pairs([], np.zeros(0, int), np.zeros(0, int)).tolist() == []
