@@ -2,8 +2,8 @@
 
 Statistics of each whole text are standardised; cosines of random projections (the features of a Gaussian
 kernel) feed a ridge regression whose normal equations are summed over partitions; isotonic regression over
-binned scores of labelled rows that the ridge hasn't seen (a fifth, by a hash of the statistics) turns its output
-into a probability. Where that fifth is empty or of one class, all labelled rows calibrate.
+binned scores turns its output into a probability. Each labelled row is scored for that by a ridge that hasn't seen
+it: the sums are kept by FOLDS (a hash of the statistics), and those of all folds but one fit that one's ridge.
 
 Labels are read only from rows that are not held out. Everything that reaches the driver has a fixed size: the
 upper triangle of one (features x features) matrix and N_BINS bins.
@@ -29,7 +29,7 @@ N_FEATURES = 192
 GAMMA = 0.08
 RIDGE = 1.0
 N_BINS = 1024
-CALIBRATING = 5
+FOLDS = 5
 SEED = 20240607
 STATS = (
     "log_chars", "log_words", "mean_word", "upper", "digits", "symbols", "marks", "distinct", "run_share",
@@ -124,22 +124,33 @@ def fit(train: DataFrame, n_features: int = N_FEATURES, ridge: float = RIDGE):
     up = np.triu_indices(d)
 
     def normal_equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d, d))
+        total = np.zeros((FOLDS, d, d))
         for batch in batches:
             if batch.num_rows:
                 a = np.hstack([features(_matrix(batch.column(0))), batch.column(1).to_numpy(zero_copy_only=False)[:, None].astype(float)])
-                total += a.T @ a
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(up[0]), dtype=np.int32)), pa.array(total[up])], ["i", "v"])
-
-    unseen = F.pmod(F.xxhash64("x"), F.lit(CALIBRATING)) == 0
-    rows = train.filter(~unseen).select("x", "y").mapInArrow(normal_equations, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    gram = np.zeros((d, d))
-    order = rows["i"].to_numpy()
-    gram[up[0][order], up[1][order]] = rows["v"].to_numpy()
-    gram = gram + np.triu(gram, 1).T
+                fold = batch.column(2).to_numpy(zero_copy_only=False)
+                for k in range(FOLDS):
+                    total[k] += a[fold == k].T @ a[fold == k]
+        sums = total[:, up[0], up[1]].ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["i", "v"])
+
+    dealt = train.select("x", "y", F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = dealt.mapInArrow(normal_equations, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    sums = np.zeros(FOLDS * len(up[0]))
+    sums[rows["i"].to_numpy()] = rows["v"].to_numpy()
+    grams = np.zeros((FOLDS, d, d))
+    grams[:, up[0], up[1]] = sums.reshape(FOLDS, -1)
+    grams += np.triu(grams, 1).transpose(0, 2, 1)
     penalty = np.full(d - 1, ridge)
     penalty[0] = 1e-9
-    beta = np.linalg.solve(gram[:-1, :-1] + np.diag(penalty), gram[:-1, -1])
+
+    def solved(gram: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(gram[:-1, :-1] + np.diag(penalty), gram[:-1, -1])
+
+    whole = grams.sum(0)
+    beta = solved(whole)
+    # of a fold that has all rows nothing is left to fit: it takes the whole's
+    unseen = np.array([solved(whole - g) if (whole - g)[0, 0] > 0 else beta for g in grams])
 
     def raw(x: np.ndarray) -> np.ndarray:
         return np.clip(features(x) @ beta, -0.5, 1.5)
@@ -148,15 +159,14 @@ def fit(train: DataFrame, n_features: int = N_FEATURES, ridge: float = RIDGE):
         n, y = np.zeros(N_BINS), np.zeros(N_BINS)
         for batch in batches:
             if batch.num_rows:
-                at = np.minimum(((raw(_matrix(batch.column(0))) + 0.5) / 2 * N_BINS).astype(int), N_BINS - 1)
+                own = unseen[batch.column(2).to_numpy(zero_copy_only=False)]
+                score = np.clip((features(_matrix(batch.column(0))) * own).sum(1), -0.5, 1.5)
+                at = np.minimum(((score + 0.5) / 2 * N_BINS).astype(int), N_BINS - 1)
                 np.add.at(n, at, 1)
                 np.add.at(y, at, batch.column(1).to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_BINS, dtype=np.int32)), pa.array(n), pa.array(y)], ["bin", "n", "y"])
 
-    calibrating = train.filter(unseen)
-    share = calibrating.agg(F.avg("y")).first()[0]
-    calibrating = train if share in (None, 0.0, 1.0) else calibrating
-    bins = calibrating.select("x", "y").mapInArrow(binned, "bin int, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).filter("n > 0").orderBy("bin").toPandas()
+    bins = dealt.mapInArrow(binned, "bin int, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).filter("n > 0").orderBy("bin").toPandas()
     at = (bins["bin"].to_numpy() + 0.5) / N_BINS * 2 - 0.5
     level = isotonic((bins["y"] / bins["n"]).to_numpy(), bins["n"].to_numpy())
     return lambda x: np.clip(np.interp(raw(x), at, level), 0, 1)
