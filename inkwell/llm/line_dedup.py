@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, row_of, small_batches, table, tidy, with_text
+from .common import row_key, row_of, small_batches, stash, table, tidy, with_text
 
 WINDOW = 2
 MEAN_LINES = 3
@@ -97,6 +97,7 @@ def removed_chunks(docs: DataFrame, rows: DataFrame, mean_lines: int = MEAN_LINE
     small = keyed.mapInArrow(*_hashed(mean_lines))
     first = F.min(F.struct("doc_id", "_key", "at"))
     often = small.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1").withColumnRenamed("h", "_h")
+    often = stash(often, "often")  # read back, both sides of the join below are plain exchanges, whose hot partitions Spark splits
     is_first = (F.col("_key") == F.col("first._key")) & (F.col("at") == F.col("first.at"))
     asked = small.join(often, F.col("h") == F.col("_h")).groupBy("_key").agg(F.collect_set(F.struct("at", "h", "n", is_first.alias("is_first"))).alias("asked"))
     asked = asked.withColumnRenamed("_key", "_of")
