@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.render import document_markdown, table_markdown
 from inkwell.operators import geometry
 from inkwell.sources.decoders import decode_files
-from inkwell.sources.tables import table
+from inkwell.sources.tables import spread, table
 
 
 def _zip_of(parts: dict[str, str]) -> bytes:
@@ -77,7 +77,7 @@ def _packed(all_kinds: tuple[str, ...]):
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of each document that aren't blank, trimmed, with single blanks."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", lines.alias("lines"))
 
 
 def decode_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
     return decode_files(pages).select(F.split("path", r"\.")[0].cast("long").alias("page_id"), document_markdown(F.col("blocks")).alias("markdown"))
 
 

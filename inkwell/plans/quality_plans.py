@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.quality import with_quality
 from inkwell.operators.aggregates import upper_median
-from inkwell.sources.tables import table
+from inkwell.sources.tables import spread, table
 
 COLUMNS = ["doc_id", "score", "completeness", "structure", "formatting", "cleanliness", "char_count", "line_count", "heading_count", "table_count", "list_item_count", "warnings"]
 # Literals are Python strings so that line ends reach SQL as characters.
@@ -60,7 +60,7 @@ SCRAPS = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_quality(table(spark, sf_dir, "documents"))
+    return with_quality(spread(table(spark, sf_dir, "documents")))
 
 
 def quality_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
