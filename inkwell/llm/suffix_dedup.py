@@ -10,7 +10,10 @@
    A task sorts one block of buckets at a time. The bytes are laid out so that anchors fall on multiples of
    PERIOD; suffixes at the places of a difference cover modulo PERIOD are ranked first, with the lengths of their
    common prefixes; a window is then ordered by its first bytes up to the next cover place and, however long the
-   tie, by that place's rank. A bucket larger than a block is sorted in passes over offsets from the anchor.
+   tie, by that place's rank. A bucket of more than HOT contexts is split by the bytes next to the anchor: windows
+   that begin up to a quarter, a half, ... of their room before it go by all the bytes that they have in common, so
+   that a line that stands in many surroundings is dealt out by these. A bucket that is still larger than a block is
+   sorted in passes over offsets from the anchor.
 4. The windows found are united to spans, removed from each text, and the rest is digested.
 
 Defined results: null and empty texts have no byte; texts shorter than LENGTH lose nothing; a string that
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ GRAM = 64
 PERIOD = 32
 SLICE = 1 << 20
 BLOCK = 4 << 20
+#: Contexts of a bucket from which it is split, and in how many ranges of offsets.
+HOT, RANGES = 2000, 4
 _PLACE_BITS = 22
 _NO_ID = -(1 << 63)
 _RNG = np.random.default_rng(977)
@@ -158,16 +164,18 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the contexts that are asked for."""
-    names = ["h", "alone", "doc", "place", "a", "bytes"]
+    names = ["h", "alone", "doc", "place", "a", "low", "high", "bytes"]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
         size = 0
         for doc, text, asked in zip(batch.column(0).to_pylist(), _utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             for x in asked:
                 p, n = x["place"] & 0xFFFFFFFF, x["place"] >> 32 & 255
-                for column, v in zip(rows, (x["h"], x["alone"], doc, x["place"], x["a"], text[p : p + n - 1 + LENGTH]), strict=True):
-                    column.append(v)
-                size += n + LENGTH
+                data = text[p : p + n - 1 + LENGTH]
+                for h, low, high in split_bucket(x["h"], data, x["a"]) if x["hot"] else ((x["h"], -LENGTH, LENGTH),):
+                    for column, v in zip(rows, (h, x["alone"], doc, x["place"], x["a"], low, high, data), strict=True):
+                        column.append(v)
+                    size += len(data)
             if size > 8 << 20:
                 yield _context_rows(rows, names)
                 rows, size = [[] for _ in names], 0
@@ -175,10 +183,23 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_rows(rows: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
 
 
+def split_bucket(h: int, data: bytes, anchor: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, low, high): where the windows of a context with anchors low to high - 1 bytes after their start have all their equals.
+
+    These windows have in common the bytes from low before the anchor's place to LENGTH - high + 1 behind it.
+    """
+    room = LENGTH - GRAM + 1
+    for k in range(RANGES):
+        low, high = room * k // RANGES, room * (k + 1) // RANGES
+        begin, end = anchor - low, anchor + LENGTH - high + 1
+        if begin >= 0 and end <= len(data):  # else no window of this range fits
+            yield xxhash.xxh3_64_intdigest(data[begin:end], (h + k) & 0xFFFFFFFFFFFFFFFF) - (1 << 63), low, high
+
+
 def difference_cover(period: int) -> np.ndarray:
     """Places so that any two numbers have a common shift below `period` that takes both to such places."""
     cover, missing = [0], set(range(1, period))
@@ -193,21 +214,24 @@ _COVER = difference_cover(PERIOD)
 _SHIFT = np.array([min((int(d) - r) % PERIOD for d in _COVER) for r in range(PERIOD)])  # to the next place of the cover
 
 
-def repeated_windows(items: list[tuple[bytes, int]], low: int = -LENGTH, high: int = LENGTH) -> list[np.ndarray]:
-    """For contexts (bytes, offset of the anchor): which windows, with anchors low to high - 1 bytes after their start, occur twice in items."""
+def repeated_windows(items: list[tuple], low: int = -LENGTH, high: int = LENGTH) -> list[np.ndarray]:
+    """For contexts (bytes, offset of the anchor, and the range of its windows' offsets, if not all): which windows,
+    with anchors low to high - 1 bytes after their start, occur twice in items."""
+    items = [(x[0], x[1], *(x[2:] or (-LENGTH, LENGTH))) for x in items]
     begin, at = [], PERIOD
-    for data, a in items:
+    for data, a, _, _ in items:
         at += (-(at + a)) % PERIOD  # the anchor falls on a multiple of the period
         begin.append(at)
         at += len(data)
     flat = np.zeros(at + 2 * LENGTH, np.uint8)
-    for b, (data, _) in zip(begin, items, strict=True):
+    for b, (data, *_) in zip(begin, items, strict=True):
         flat[b : b + len(data)] = np.frombuffer(data, np.uint8)
-    sizes = [len(data) - LENGTH + 1 for data, _ in items]
+    sizes = [len(x[0]) - LENGTH + 1 for x in items]
     window = np.concatenate([np.arange(b, b + n) for b, n in zip(begin, sizes, strict=True)])
-    offset = np.concatenate([a - np.arange(n) for (_, a), n in zip(items, sizes, strict=True)])
+    offset = np.concatenate([x[1] - np.arange(n) for x, n in zip(items, sizes, strict=True)])
+    least, most = (np.repeat([x[k] for x in items], sizes) for k in (2, 3))
     hit = np.zeros(len(window), bool)
-    chosen = np.flatnonzero((offset >= low) & (offset < high))
+    chosen = np.flatnonzero((offset >= np.maximum(low, least)) & (offset < np.minimum(high, most)))
     if len(chosen):
         s = window[chosen]
         shift = _SHIFT[s % PERIOD]
@@ -246,11 +270,11 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of their anchors; complete buckets are gathered up to the size of a block."""
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        items = [(r[5], r[4]) for r in rows]
-        size = sum(len(d) for d, _ in items)
+        items = [(r[7], r[4], r[5], r[6]) for r in rows]
+        size = sum(len(x[0]) for x in items)
         passes = max(1, -(-size // BLOCK))
         step = -(-LENGTH // passes)
-        hits = [np.zeros(max(0, len(d) - LENGTH + 1), bool) for d, _ in items]
+        hits = [np.zeros(max(0, len(x[0]) - LENGTH + 1), bool) for x in items]
         for low in range(0, LENGTH, step):
             for hit, more in zip(hits, repeated_windows(items, low, low + step), strict=True):
                 hit |= more
@@ -269,7 +293,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if bucket and row[0] != bucket[0][0]:
                 if len(bucket) > 1:
-                    more = sum(len(r[5]) for r in bucket)
+                    more = sum(len(r[7]) for r in bucket)
                     if block and size + more > BLOCK:
                         yield spans(block)
                         block, size = [], 0
@@ -314,11 +338,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     counted = keyed.mapInArrow(_counted, "h long, c long, n long, doc long, place long, a int").repartition(n, "h")
     one = counted.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "place", "a")).alias("x"))
     of_anchor = one.select("h", "c", "n", "x", F.count(F.lit(1)).over(_by("h")).alias("kinds"), F.min("n").over(_by("h")).alias("least"))
-    asked = of_anchor.filter("kinds > 1 AND least = 1").select("h", (F.col("n") == 1).alias("alone"), "x.doc", "x.place", "x.a")
-    asked = asked.groupBy("doc", F.shiftright("place", 40).cast("int").alias("t")).agg(F.collect_list(F.struct("h", "alone", "place", "a")).alias("asked"))
+    asked = of_anchor.filter("kinds > 1 AND least = 1").select("h", (F.col("n") == 1).alias("alone"), (F.col("kinds") > HOT).alias("hot"), "x.doc", "x.place", "x.a")
+    asked = asked.groupBy("doc", F.shiftright("place", 40).cast("int").alias("t")).agg(F.collect_list(F.struct("h", "alone", "hot", "place", "a")).alias("asked"))
     asked = asked.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "asked")
     same = (F.col("doc") == F.col("_doc")) & (F.col("t") == F.col("_t"))
-    fetched = keyed.join(asked, same).select("doc", "text", "asked").mapInArrow(_fetched, "h long, alone boolean, doc long, place long, a int, bytes binary")
+    fetched = keyed.join(asked, same).select("doc", "text", "asked").mapInArrow(_fetched, "h long, alone boolean, doc long, place long, a int, low int, high int, bytes binary")
     sorted_spans = fetched.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sorted, "doc long, t int, span long")
 
     twice = one.filter("n > 1").select(F.col("h").alias("_h"), F.col("c").alias("_c"))

@@ -102,6 +102,22 @@ def test_op2_passes_and_slices(monkeypatch):
     assert gone == [{i for i in range(len(t) - 199) if count[t[i : i + 200]] > 1} for t in texts]
 
 
+def test_op2_splits_hot_buckets(spark, monkeypatch):
+    """A line in many surroundings, some of which repeat: the same result whether its bucket is split by the bytes next to it or not."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    line, around = word(17), [(word(20), word(20)) for _ in range(6)]
+    texts = [f"{a} {line} {b}" for a, b in around] * 2 + [f"{word(20)} {line} {b}" for _, b in around[:3]] + [f"{a} {line} {word(20)}" for a, _ in around[3:]] + [f"{word(30)} {line} {word(30)}" for _ in range(20)]
+    texts += [f"{around[0][0][-40:]} {line} {around[1][1][:60]}", line, f"{line} {around[2][1]}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(suffix_dedup.brute_force(texts)))
+    for limit in (suffix_dedup.HOT, 3):
+        monkeypatch.setattr(suffix_dedup, "HOT", limit)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_substrings(frame).collect()} == want
+
+
 def test_difference_cover():
     cover = set(suffix_dedup.difference_cover(32).tolist())
     assert all(any((i + d) % 32 in cover and (j + d) % 32 in cover for d in range(32)) for i in range(32) for j in range(32))
