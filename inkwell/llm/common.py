@@ -68,8 +68,7 @@ def text_key(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words between ASCII white space."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", -1), "")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -27,7 +27,7 @@ SALTS = 32
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    return F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
 
 def _normal(line: Column) -> Column:
@@ -36,12 +36,10 @@ def _normal(line: Column) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in 3-word windows found twice or more: sort the windows' hashes, keep those with an equal neighbour."""
+    """Words in 3-word windows found twice or more: where hashes repeat, sort them with their places, keep those with an equal neighbour."""
 
     def windows(w: Column) -> Column:
-        return F.sort_array(
-            F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"), i.alias("i")))
-        )
+        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
 
     def repeated(s: Column) -> Column:
         at = lambda i: F.get(s, i)["h"]
@@ -52,13 +50,19 @@ def _repeat_words(words: Column) -> Column:
         gaps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(let(windows(words), repeated), covered))
+    def counted(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(placed, repeated), covered))
+
+    hashed = F.transform(words, lambda x: F.xxhash64(x))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(let(hashed, windows), counted))
 
 
 def base_columns(docs: DataFrame, row: bool = False) -> DataFrame:
     """doc_id, host, key of the text and the base columns; with row, also the struct _row of all columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r")))
+    chars = lambda w: F.length(F.array_join(w, "")).cast("long")
+    facts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"), chars(w).alias("c")))
     dup = let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     whole = [row_of(docs).alias("_row")] if row else []
     read = docs.select(
@@ -67,13 +71,12 @@ def base_columns(docs: DataFrame, row: bool = False) -> DataFrame:
         F.col("source").alias("_host"),
         text_key(text).alias("_key"),
         facts.alias("_facts"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         dup.alias("n_dup_lines"),
     )
     n, r = F.col("_facts.n"), F.col("_facts.r")
     failed = (n < 50) | (100 * r > 50 * n)
-    facts_of = [n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed")]
+    facts_of = [n.alias("n_words"), F.col("_facts.c").alias("word_chars"), "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed")]
     return read.select("doc_id", *(["_row"] if row else []), "_host", "_key", *facts_of)
 
 
@@ -133,7 +136,7 @@ def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float
     left = F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0).cast("long"))
     text = F.col("_row.text")
     rest = F.filter(
-        F.split(text, "\n", -1), lambda x: (F.translate(x, SPACES, "") == "") | ~F.array_contains(F.col("_often"), F.xxhash64(_normal(x)))
+        F.split(text, "\n", -1), lambda x: (F.btrim(x, F.lit(SPACES)) == "") | ~F.array_contains(F.col("_often"), F.xxhash64(_normal(x)))
     )
     cleaned = F.when(F.col("_often").isNull(), text).otherwise(F.array_join(rest, "\n"))
     # one condition on both sides: a filter on base_failed alone would be pushed below, where its counts are made again
