@@ -23,6 +23,7 @@ TRAILING = r"(?md)[ \t]+$"
 TAG = r"<(?!br\s*/?>)(?!/br)[a-zA-Z][^>]*>"
 LIST_ITEM = r"(?md)^[\-\*\d]+[.)]\s"
 MARKUP = "#*|-[]>`~\n\r\t "
+MARKUP_RUN = r"[#*|\-\[\]>`~\n\r\t ]+"
 SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
@@ -35,6 +36,10 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_of(text: Column, c: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE))
 
@@ -50,7 +55,7 @@ def completeness(text: Column, source_size: Column | None = None) -> Column:
         ratio = n / source_size
         off = F.when(ratio < 0.01, 40).when(ratio < 0.05, 20).when(ratio > 10, 10).otherwise(0)
         score = score - F.when(source_size > 0, off).otherwise(0)
-    substance = F.length(F.translate(text, MARKUP, ""))
+    substance = F.length(F.regexp_replace(text, MARKUP_RUN, ""))
     score = score - F.when(substance < n * 0.3, 20).otherwise(0)
     return F.when(n == 0, 0).when(n < 10, 10).otherwise(_clamped(score))
 
@@ -62,7 +67,7 @@ def structure(text: Column) -> Column:
         return F.when(F.size(levels) == 0, 30).otherwise(5 * jumps)
 
     empty = F.size(F.filter(F.regexp_extract_all(text, F.lit(HEADING), F.lit(2)), lambda t: strip(t) == ""))
-    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    lines = count_of(text, "\n") + 1
     score = F.lit(100) - let(F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)), headed) - 10 * empty
     score = score - F.when(~F.contains(text, F.lit("\n\n")) & (lines > 5), 20).otherwise(0)
     return _clamped(score - F.when((_count(text, TABLE_LINE) > 0) & (_count(text, SEPARATOR) == 0), 15).otherwise(0))
@@ -74,14 +79,14 @@ def formatting(text: Column) -> Column:
         return F.when(F.size(widths) == 0, 0).otherwise(F.least(F.lit(30), 5 * (F.size(widths) - F.array_max(modes))))
 
     rows = F.regexp_extract_all(text, F.lit(r"(?md)^(\|.+\|)$"), F.lit(1))
-    widths = F.transform(rows, lambda r: F.length(r) - F.length(F.translate(r, "|", "")) - 1)
+    widths = F.transform(rows, lambda r: count_of(r, "|") - 1)
     score = F.lit(100) - let(widths, uneven) - F.when(_count(text, FENCE) % 2 != 0, 20).otherwise(0)
     return _clamped(score - 10 * _count(text, BROKEN_LINK) - F.least(F.lit(15), 3 * _count(text, BAD_BULLET)))
 
 
 def cleanliness(text: Column) -> Column:
-    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
-    odd = F.length(text) - F.length(F.translate(text, "\ufffd", ""))
+    lines = count_of(text, "\n") + 1
+    odd = count_of(text, "\ufffd")
     score = F.lit(100) - F.least(F.lit(40), 5 * odd) - F.least(F.lit(30), 3 * _count(text, CONTROL)) - F.least(F.lit(20), 5 * _count(text, BLANK_RUN))
     return _clamped(score - F.when(_count(text, TRAILING) / lines > 0.3, 15).otherwise(0) - F.least(F.lit(20), 2 * _count(text, TAG)))
 
@@ -103,7 +108,7 @@ def with_quality(df: DataFrame, text: str = "text", source_size: Column | None =
         {
             "score": F.bround(total.cast("decimal(10,2)") / 20, 1).cast("double"),
             "char_count": F.length(t).cast("long"),
-            "line_count": (F.length(t) - F.length(F.translate(t, "\n", "")) + 1).cast("long"),
+            "line_count": (count_of(t, "\n") + 1).cast("long"),
             "heading_count": _count(t, r"(?md)^#{1,6}\s").cast("long"),
             "table_count": _count(t, TABLE_LINE).cast("long"),
             "list_item_count": _count(t, LIST_ITEM).cast("long"),
