@@ -39,31 +39,6 @@ def safe_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", safe_component(name).alias("name"))
 
 
-def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links to pages of the same book become links to their outputs: the map joins as rows, one a link."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.concat(((F.col("page_id") * 7) % 300).cast("string"), F.lit(".htm#f")).alias("href"))
-    known = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".htm")).alias("_src"), F.concat(F.lit("out/"), F.col("page_id").cast("string"), F.lit(".md")).alias("_out"))
-    joined = links.join(known, F.substring_index("href", "#", 1) == F.col("_src"), "left")
-    return joined.select("page_id", F.when(F.col("_out").isNotNull(), F.concat("_out", F.lit("#"), F.substring_index("href", "#", -1))).otherwise(F.col("href")).alias("target"))
-
-
-def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image references with what becomes of them: a link where the file is there, base64 where it is small, else a placeholder."""
-    refs = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("img/"), (F.col("page_id") % 60).cast("string"), F.lit(".png")).alias("ref"))
-    disk = spark.range(50).select(F.concat(F.lit("img/"), F.col("id").cast("string"), F.lit(".png")).alias("_ref"), (F.col("id") * 200_000).alias("size"))
-    j = refs.join(disk, F.col("ref") == F.col("_ref"), "left")
-    made = F.when(F.col("size").isNull(), F.concat(F.lit("[missing: "), "ref", F.lit("]"))).when(F.col("size") <= 5 << 20, F.lit("base64")).otherwise(F.concat(F.lit("![]("), "ref", F.lit(")")))
-    return j.select("page_id", made.alias("made"))
-
-
-def cid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cid references of a mail and the attachments of the same mail."""
-    turns = table(spark, sf_dir, "conversations")
-    refs = turns.filter("turn % 2 = 0").select("conv_id", "turn", (F.col("turn") + 1).alias("cid"))
-    att = turns.filter("turn % 2 = 1").select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_cid"), F.concat("role", F.lit(".png")).alias("file"))
-    return refs.join(att, (F.col("conv_id") == F.col("_conv")) & (F.col("cid") == F.col("_cid")), "left").select("conv_id", "turn", F.coalesce("file", F.lit("[inline image]")).alias("shown"))
-
-
 def numbering_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops: list number to abstract list, and level of that to its format."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -204,9 +179,6 @@ _CNT = lambda c, n: f"count(*) FILTER ({c}) AS {n}"
 
 QUERIES = {
     "safe_components": (safe_components, f"SELECT p_partkey, CASE WHEN length(n) <= 180 THEN n ELSE substr(n, 1, 171) || '~' || substr(sha1(n), 1, 8) END AS name FROM (SELECT p_partkey, {_NAME} AS n FROM part)"),
-    "link_rewrite": (link_rewrite, "SELECT page_id, CASE WHEN (page_id * 7) % 300 IN (SELECT page_id FROM pages) THEN 'out/' || CAST((page_id * 7) % 300 AS VARCHAR) || '.md#f' ELSE CAST((page_id * 7) % 300 AS VARCHAR) || '.htm#f' END AS target FROM pages"),
-    "image_refs": (image_refs, "SELECT page_id, CASE WHEN page_id % 60 >= 50 THEN '[missing: img/' || CAST(page_id % 60 AS VARCHAR) || '.png]' WHEN page_id % 60 * 200000 <= 5242880 THEN 'base64' ELSE '![](img/' || CAST(page_id % 60 AS VARCHAR) || '.png)' END AS made FROM pages"),
-    "cid_names": (cid_names, "SELECT a.conv_id, a.turn, coalesce(b.role || '.png', '[inline image]') AS shown FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0"),
     "numbering_formats": (numbering_formats, "SELECT s_suppkey, coalesce(r_name, 'none') AS fmt FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"),
     "reconcile": (reconcile, "SELECT coalesce(CASE WHEN quality = 1 THEN 'completed' WHEN quality = 0 THEN 'failed' END, 'pending') AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"),
     "recognition_summary": (recognition_summary, "SELECT source, count(*) AS total, " + ", ".join(_CNT(c, n) for c, n in (("doc_id % 3 = 0", "cached"), ("doc_id % 3 <> 0", "processed"), ("n_chars > 500", "with_text"), ("n_chars <= 500", "no_text"), ("doc_id % 20 = 0", "failed"))) + ", CAST(round_even(CAST(CAST(sum(doc_id % 10) AS DECIMAL(18, 8)) / count(*) AS DECIMAL(18, 8)), 2) AS DOUBLE) AS avg_seconds FROM documents GROUP BY source"),

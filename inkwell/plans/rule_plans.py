@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from email.message import EmailMessage
+from email.policy import SMTPUTF8
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import render
 from inkwell.functions import text as T
 from inkwell.operators import refs, sync
+from inkwell.sources.decoders import decode_files
 from inkwell.sources.tables import table
 
 
@@ -69,6 +75,34 @@ def links_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.rewrite_links(docs, known).select("page_id", "markdown")
 
 
+def _mails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """conv_id, texts to path and content of mails: the first text is the body, the others are attachments."""
+    for batch in batches:
+        paths, contents = [], []
+        for conv, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            mail = EmailMessage(policy=SMTPUTF8)
+            mail["Subject"], mail["From"] = f"S{conv}", "a@example.com"
+            mail.set_content(texts[0])
+            for i, text in enumerate(texts[1:], 1):
+                mail.add_attachment(text.encode(), maintype="text", subtype="plain", filename=f"{i}.txt")
+            paths.append(f"{conv}.eml")
+            contents.append(mail.as_bytes())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+
+def mail_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations as mails, decoded: subject, manifest of the attachments, body and attachments in order."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    mails = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(texts.alias("texts")).mapInArrow(_mails, "path string, content binary")
+    b = F.col("blocks")
+    manifest = F.filter(F.flatten(F.transform(F.filter(b, lambda x: x["kind"] == "table"), lambda x: x["rows"])), lambda r: r[0] == "附件")
+    paragraphs = F.array_join(F.transform(F.filter(b, lambda x: x["kind"] == "p"), lambda x: x["text"]), "\n")
+    return decode_files(mails).select(
+        F.split("path", r"\.")[0].cast("long").alias("conv_id"), F.get(b, F.lit(0))["text"].alias("subject"), F.coalesce(F.get(manifest, F.lit(0))[1], F.lit("")).alias("manifest"),
+        F.size(F.filter(b, lambda x: (x["kind"] == "h") & (x["level"] == 3))).cast("long").alias("n_attached"), F.sha2(paragraphs, 256).alias("sha"),
+    )
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     messy = F.concat(F.lit(" \t"), F.lit("\x01"), "p_name", F.lit("\x7f\n"), "p_type", F.lit(" \r\n"))
     return table(spark, sf_dir, "part").select("p_partkey", T.file_name(messy).alias("name"))
@@ -197,6 +231,12 @@ QUERIES = {
         links_rewritten,
         "SELECT page_id, 'see [one](' || CASE WHEN o NOT IN (SELECT page_id FROM pages) THEN '../b' || o % 3 || '/' || o || '.htm' WHEN o % 3 = page_id % 3 THEN o || '.md' ELSE '../b' || o % 3 || '/' || o || '.md' END || '#f) and [two](http://x.example/y.htm) ![i](p.png)' AS markdown FROM (SELECT page_id, page_id * 7 % 300 AS o FROM pages)",
     ),
+    "mail_decoding": (
+        mail_decoding,
+        "WITH c AS (SELECT conv_id, list(text ORDER BY turn, text) AS t, list(octet_length(encode(text)) ORDER BY turn, text) AS z FROM conversations GROUP BY conv_id), "
+        "s AS (SELECT *, list_transform(t, lambda x: trim(x, E' \\t\\n\\r')) AS k, list_transform(range(1, least(9, len(t))), lambda i: i || '.txt (' || CASE WHEN z[i + 1] < 1024 THEN z[i + 1] || ' B' ELSE printf('%.1f', z[i + 1] / 1024) || ' KB' END || ')') AS m FROM c) "
+        "SELECT conv_id, 'S' || conv_id AS subject, array_to_string(m, '、') || CASE WHEN len(t) > 9 THEN ' 等 ' || (len(t) - 1) || ' 个' ELSE '' END AS manifest, CAST(len(list_filter(t[2:], lambda x: x <> '')) AS BIGINT) AS n_attached, sha256(array_to_string(list_filter(k, lambda x: x <> ''), chr(10))) AS sha FROM s",
+    ),
     "file_names": (file_names, "SELECT p_partkey, p_name || p_type AS name FROM part"),
     "cut_components": (cut_components, "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN k + 4 <= 180 THEN repeat('x', k) || '.tar' ELSE repeat('x', 175) || '.tar' END ELSE CASE WHEN k <= 180 THEN repeat('x', k) ELSE repeat('x', 179) END END AS name FROM (SELECT p_partkey, CAST(p_partkey % 250 AS INT) AS k FROM part)"),
     "iso_times": (iso_times, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS \"at\" FROM events"),
