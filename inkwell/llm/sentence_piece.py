@@ -133,7 +133,7 @@ class Codec:
     A word stands without its marker where its text has one before each word and no other.
     """
 
-    TOGETHER, MEMO = 1000, 150_000
+    TOGETHER, BATCH, MEMO = 500, 16, 100_000
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -156,8 +156,7 @@ class Codec:
         apart = set(alone)
         rest = [i for i in range(len(words)) if i not in apart]
         groups = [[i] for i in alone] + [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int32)
+        for group, ids in self._encode_groups(words, groups):
             first = np.flatnonzero(self.marked[ids]) if len(group) > 1 else np.zeros(1, np.int64)
             if len(first) != len(group) or len(ids) and first[0]:
                 raise ValueError("a word was split otherwise than alone")
@@ -171,6 +170,13 @@ class Codec:
             out[_ranges(ends[group] - counts, counts)] = ids
         return out, size
 
+    def _encode_groups(self, words: list[str], groups: list[list[int]]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Each group of words with the ids of all of them, BATCH groups at a time: the library's results are large."""
+        for at in range(0, len(groups), self.BATCH):
+            some = groups[at : at + self.BATCH]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast(["".join([words[i] for i in g]) for g in some], add_special_tokens=False), strict=True):
+                yield group, np.array(e.ids, np.int32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids if t else [], np.int32) for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
@@ -216,15 +222,16 @@ class Codec:
         """The words of a text with their markers."""
         return _MARKED.findall(self.prefix + text.replace(" ", SPACE)) if text else []
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Pieces joined, markers as blanks; texts with other bytes than ASCII, control or unknown pieces go to the library."""
         out: list[str] = []
-        for one in ids:
+        for own in ids:
+            one = own.tolist()  # of one text at a time: numbers are large as Python objects
             try:
                 text = "".join([self.plain[i] for i in one]).replace(SPACE, " ")
                 out.append(text[1:] if self.prefix and text[:1] == " " else text)
             except TypeError:
-                out.append(self.tokenizer.decode(list(one), skip_special_tokens=False))
+                out.append(self.tokenizer.decode(one, skip_special_tokens=False))
         return out
 
 
@@ -263,7 +270,7 @@ def encode_texts(name: str, texts: list[str]) -> list[np.ndarray]:
     return _loaded(name).encode(texts)
 
 
-def decode_ids(name: str, ids: list[list[int]]) -> list[str]:
+def decode_ids(name: str, ids: list[np.ndarray]) -> list[str]:
     return _loaded(name).decode(ids)
 
 
@@ -278,7 +285,7 @@ def _digests(name: str, with_ids: bool):
             for batch in _parts(whole):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = encode_texts(name, texts)
-                back = decode_ids(name, [i.tolist() for i in ids])
+                back = decode_ids(name, ids)
                 same = own.encode(texts, num_threads=1, return_type="numpy")
                 normal = own.normalize(texts)
                 rows = [
@@ -319,7 +326,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = decode_ids(model, [i or [] for i in batch.column(1).to_pylist()])
+                texts = decode_ids(model, [np.array(i or [], np.int64) for i in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(tidy(run, _forget), "doc_id long, text string")
