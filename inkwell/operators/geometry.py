@@ -50,11 +50,18 @@ def in_cells(boxes: DataFrame, lanes: DataFrame, bands: DataFrame, image: str) -
     return x.join(bands.withColumnRenamed(image, "_image"), (F.col(image) == F.col("_image")) & (F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1"))).drop("_image")
 
 
-def drop_contained(boxes: DataFrame, image: str, gap: float = 10.0) -> DataFrame:
-    """Boxes without those whose text is part of a longer text next to them, on half of their height or more."""
+def drop_contained(boxes: DataFrame, image: str, gap: float = 10.0, inside: float = 2.0) -> DataFrame:
+    """Boxes without the fragments of longer texts that they overlap by half of their height or more.
+
+    A fragment lies inside the longer box and is part of its text, or touches its right edge and is the end of its
+    text, or its left edge and is the start.
+    """
     other = boxes.select(*(F.col(c).alias(f"o_{c}") for c in boxes.columns))
+    mine, theirs = F.trim(F.col("text")), F.trim(F.col("o_text"))
     overlap = F.least(F.col("y") + F.col("h"), F.col("o_y") + F.col("o_h")) - F.greatest("y", "o_y")
-    near = (F.col("x") <= F.col("o_x") + F.col("o_w") + gap) & (F.col("o_x") <= F.col("x") + F.col("w") + gap)
-    part = (F.length("text") < F.length("o_text")) & F.contains(F.col("o_text"), F.col("text"))
-    on = (F.col(image) == F.col(f"o_{image}")) & part & near & (overlap >= 0.5 * F.least("h", "o_h"))
+    right, o_right = F.col("x") + F.col("w"), F.col("o_x") + F.col("o_w")
+    ends = F.abs(F.col("x") - o_right).between(0, gap) & F.endswith(theirs, mine)
+    starts = F.abs(right - F.col("o_x")).between(0, gap) & F.startswith(theirs, mine)
+    within = (F.col("x") >= F.col("o_x") - inside) & (right <= o_right + inside) & F.contains(theirs, mine)
+    on = (F.col(image) == F.col(f"o_{image}")) & (mine != "") & (F.length(mine) < F.length(theirs)) & (overlap >= 0.5 * F.least("h", "o_h")) & (ends | starts | within)
     return boxes.join(other, on, "left_anti")
