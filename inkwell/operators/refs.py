@@ -72,10 +72,14 @@ def replaced(docs: DataFrame, key: str, text: str, pattern: str, made: DataFrame
     return joined.select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns))
 
 
-def rewrite_links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """docs (rel, markdown) whose links to sources in known (src, out) lead to their outputs; fragments and other links stay."""
-    refs = references(docs, "rel", "markdown", LINK).withColumn("path", resolved(F.col("rel"), F.col("target")))
-    hit = refs.join(known.select(F.col("src").alias("_src"), F.col("out").alias("_out")), F.col("path") == F.col("_src"))
+def rewrite_links(docs: DataFrame, known: DataFrame, source: str = "rel") -> DataFrame:
+    """docs (rel, markdown) whose links to sources in known (src, out) lead to their outputs; fragments and other links stay.
+
+    Links are meant from the place of `source`, and lead from rel; of a source with several outputs the first is taken.
+    """
+    refs = references(docs.select(*{"rel", source}, "markdown"), "rel", "markdown", LINK).withColumn("path", resolved(F.col(source), F.col("target")))
+    outs = known.groupBy(F.col("src").alias("_src")).agg(F.min("out").alias("_out"))
+    hit = refs.join(outs, F.col("path") == F.col("_src"))
     fragment = F.regexp_extract("target", r"(#.*)$", 1)
     made = F.concat(F.lit("["), "label", F.lit("]("), relative_to(F.col("_out"), F.col("rel")), fragment, F.lit(")"))
     return replaced(docs, "rel", "markdown", LINK, hit.select("rel", "at", made.alias("made")))

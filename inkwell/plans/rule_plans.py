@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import render
 from inkwell.functions import text as T
 from inkwell.operators import refs, sync
+from inkwell.operators.books import render_books
 from inkwell.sources.decoders import decode_files
 from inkwell.sources.tables import table
 
@@ -75,6 +76,27 @@ def links_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.rewrite_links(docs, known).select("page_id", "markdown")
 
 
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the files of three books, two of them with a table of contents: folders for even and odd numbers, a void one in each; every fifth page isn't in it."""
+    i = F.col("page_id").cast("string")
+    book = F.concat(F.lit("b"), (F.col("page_id") % 3).cast("string"))
+    pages = table(spark, sf_dir, "pages").select(book.alias("book"), F.concat(F.lit("p/"), i, F.lit(".htm")).alias("path"), F.encode("html", "UTF-8").alias("content"), "page_id")
+    entry = lambda name, local: F.concat(F.lit('<li><object type="text/sitemap"><param name="Name" value="'), name, F.lit('"><param name="Local" value="'), local, F.lit('"></object>'))
+    listed = pages.filter("page_id % 5 <> 0 AND page_id % 3 < 2").withColumn("g", F.col("page_id") % 2)
+    leaf = entry(F.concat(F.lit("T"), (F.col("page_id") % 40).cast("string")), F.translate("path", "/", "\\"))
+    folders = listed.groupBy("book", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", leaf.alias("e")))), lambda s: s["e"]), "\n").alias("own"))
+    folder = F.concat(entry(F.when(F.col("g") == 0, "even").otherwise("已废止"), F.lit("")), F.lit("<ul>"), "own", F.lit("</ul>"))
+    tocs = folders.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", folder.alias("e")))), lambda s: s["e"]), "\n").alias("t"))
+    tocs = tocs.select("book", F.lit("main.HHC").alias("path"), F.encode(F.concat(F.lit("<ul>"), "t", F.lit("</ul>")), "UTF-8").alias("content"))
+    return pages.drop("page_id").unionByName(tocs)
+
+
+def help_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pages of books go, their titles, state and hashes, and how their Markdown begins."""
+    begins = F.regexp_extract("markdown", r"(?s)^(---\n.*?\n---\n\n(?:> [^\n]*\n\n)?)", 1)
+    return render_books(_books(spark, sf_dir)).select("rel", "title", "toc_path", "status", "hash", begins.alias("head"))
+
+
 def _mails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """conv_id, texts to path and content of mails: the first text is the body, the others are attachments."""
     for batch in batches:
@@ -231,6 +253,14 @@ QUERIES = {
         links_rewritten,
         "SELECT page_id, 'see [one](' || CASE WHEN o NOT IN (SELECT page_id FROM pages) THEN '../b' || o % 3 || '/' || o || '.htm' WHEN o % 3 = page_id % 3 THEN o || '.md' ELSE '../b' || o % 3 || '/' || o || '.md' END || '#f) and [two](http://x.example/y.htm) ![i](p.png)' AS markdown FROM (SELECT page_id, page_id * 7 % 300 AS o FROM pages)",
     ),
+    "help_books": (
+        help_books,
+        "WITH p AS (SELECT page_id AS i, 'b' || page_id % 3 AS book, sha1(sha1(encode(html))) AS hash, page_id % 5 <> 0 AND page_id % 3 < 2 AS listed, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE '已废止' END AS f, 'T' || page_id % 40 AS t FROM pages), "
+        "l AS (SELECT *, row_number() OVER (PARTITION BY book, f, t ORDER BY i) AS k FROM p WHERE listed), "
+        "d AS (SELECT book || '/' || f || '/' || t || CASE WHEN k = 1 THEN '' ELSE '_' || k END || '.md' AS rel, t AS title, f || '/' || t AS toc_path, CASE WHEN f = 'even' THEN '现行有效' ELSE '已废止' END AS status, hash, book FROM l "
+        "UNION ALL SELECT book || CASE WHEN i % 3 = 2 THEN '/' ELSE '/_未编目/' END || i || '.md', CAST(i AS VARCHAR), CASE WHEN i % 3 = 2 THEN '' ELSE '_未编目/' END || i, '现行有效', hash, book FROM p WHERE NOT listed) "
+        "SELECT rel, title, toc_path, status, hash, '---' || chr(10) || 'title: \"' || title || '\"' || chr(10) || 'status: \"' || status || '\"' || chr(10) || 'toc_path: \"' || toc_path || '\"' || chr(10) || 'source_chm: \"' || book || '\"' || chr(10) || 'content_hash: \"' || hash || '\"' || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN status = '已废止' THEN '> ⚠️ **本文档已废止**，仅为历史留存，请勿作为现行依据。' || chr(10) || chr(10) ELSE '' END AS head FROM d",
+    ),
     "mail_decoding": (
         mail_decoding,
         "WITH c AS (SELECT conv_id, list(text ORDER BY turn, text) AS t, list(octet_length(encode(text)) ORDER BY turn, text) AS z FROM conversations GROUP BY conv_id), "
