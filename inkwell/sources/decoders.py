@@ -47,10 +47,11 @@ class DecodeError(Exception):
         self.code = code
 
 
-# Budgets of archives and sheets, and destination groups of RTF that hold no text.
+# Budgets of archives, sheets and mails, destination groups of RTF that hold no text, fonts of headings in OFD.
 MAX_ENTRIES, MAX_BYTES, MAX_DEPTH = 100_000, 2 << 30, 3
 MAX_ROWS, MAX_CELLS, MAX_CHARS, MAX_COLUMNS, MAX_SHEETS = 3000, 200_000, 120_000, 80, 20
 MAX_ATTACHED, MAX_ATTACHED_ALL, MAX_ATTACHED_CHARS, MAX_MAIL_CHARS, MAX_NESTED = 50 << 20, 150 << 20, 120_000, 400_000, 1
+HEADING_FONTS = {"黑体", "方正黑体_GBK", "方正小标宋_GBK", "方正小标宋简体", "方正小标宋", "方正书宋", "方正大标宋", "宋体", "SimSun"}
 BATCH_CHARS = 4 << 20
 RTF_SKIP = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "header", "footer", "generator", "themedata", "listtable", "listoverridetable", "rsidtbl", "xmlnstbl", "datastore", "latentstyles"}
 
@@ -466,28 +467,88 @@ def decode_odt(content: bytes) -> list[Block]:
     return out
 
 
+class _Fragment(NamedTuple):
+    x: float
+    y: float
+    size: float
+    font: str
+    text: str
+
+
+def _numbers(text: str, n: int) -> list[float]:
+    try:
+        found = [float(v) for v in text.split()]
+    except ValueError:
+        found = []
+    return found if len(found) == n else []
+
+
+def _ofd_fragment(o: ElementTree.Element, fonts: dict[str, str]) -> _Fragment | None:
+    """A text object where it stands on the page: by its transformation, or by its offset in its boundary."""
+    code = _find(o, "TextCode")
+    text = ((code.text if code is not None else "") or "").strip()
+    if not text:
+        return None
+    left, top, _, height = _numbers(_attr(o, "Boundary"), 4) or (0.0, 0.0, 0.0, 4.0)
+    offset = _numbers(f"{_attr(code, 'X')} {_attr(code, 'Y')}", 2)
+    matrix = _numbers(_attr(o, "CTM"), 6)
+    if offset and matrix:
+        (x, y), (a, b, c, d, e, f) = offset, matrix
+        left, top = a * x + c * y + e, b * x + d * y + f
+    elif offset:
+        left, top = left + offset[0], top + offset[1]
+    size = _numbers(_attr(o, "Size"), 1)
+    return _Fragment(left, top, size[0] if size and size[0] > 0 else height, fonts.get(_attr(o, "Font"), ""), text)
+
+
+def _ofd_level(font: str, size: float, text: str) -> int:
+    """Level of a heading by its font and size, or 0."""
+    numbered = re.match(r"[（(]?[一二三四五六七八九十百千]+[）).、：:]", text)
+    if font in HEADING_FONTS:
+        return 1 if size >= 10 else 2 if size >= 7 or size >= 5.5 and not numbered else 3 if size >= 5.5 else 0
+    return 0 if len(text) < 6 else 2 if size >= 7 else 3 if size >= 5.5 and numbered else 0
+
+
 def decode_ofd(content: bytes) -> list[Block]:
-    """Fragments are joined to lines by their height, and lines in page order become paragraphs."""
+    """Fragments at one height are lines; lines that follow closely are a paragraph, unless the one before ends a sentence or this one is numbered or indented."""
     z = _zip(content)
-    pages = sorted((n for n in z.namelist() if re.search(r"Pages/Page_\d+/Content\.xml$", n)), key=lambda n: int(re.search(r"Page_(\d+)", n)[1]))
+    names = z.namelist()
+    fonts = {_attr(f, "ID"): _attr(f, "FontName") for n in names if re.search(r"(?:Public|Document)Res\.xml$", n) for f in _xml(z.read(n)).iter() if _local(f) == "Font"}
+    pages = sorted((n for n in names if re.search(r"Pages/Page_\d+/Content\.xml$", n)), key=lambda n: int(re.search(r"Page_(\d+)", n)[1]))
     out: list[Block] = []
     for name in pages:
-        lines: list[tuple[float, float, list[tuple[float, str]]]] = []
-        for o in _xml(z.read(name)).iter():
-            if _local(o) != "TextObject":
-                continue
-            x, y = (float(v) for v in (_attr(o, "Boundary").split() + ["0", "0"])[:2])
-            size = float(_attr(o, "Size") or 4)
-            text = "".join(t.text or "" for t in o.iter() if _local(t) == "TextCode")
-            line = next((q for q in lines if abs(q[0] - y) < 0.7 * min(q[1], size)), None)
-            if line is None:
-                line = (y, size, [])
-                lines.append(line)
-            line[2].append((x, text))
-        out += [Block("p", 0, t) for _, _, parts in sorted(lines, key=lambda q: q[0]) if (t := "".join(s for _, s in sorted(parts)).strip())]
+        lines: list[list[_Fragment]] = []
+        for f in sorted((f for o in _xml(z.read(name)).iter() if _local(o) == "TextObject" and (f := _ofd_fragment(o, fonts))), key=lambda f: (f.y, f.x)):
+            if lines and abs(f.y - lines[-1][-1].y) < 0.7 * min(f.size, lines[-1][-1].size):
+                lines[-1].append(f)
+            else:
+                lines.append([f])
+        group: list[list[_Fragment]] = []
+        for line in [*lines, None]:
+            if line is None or group and _ofd_new(group[-1], line):
+                text = "".join(f.text for x in group for f in sorted(x, key=lambda f: f.x)).strip()
+                if text:
+                    level = _ofd_level(group[0][0].font, group[0][0].size, text)
+                    out.append(Block("h" if level else "p", level, text))
+                group = []
+            if line is not None:
+                group.append(line)
     return out
 
 
+def _ofd_new(before: list[_Fragment], line: list[_Fragment]) -> bool:
+    """Whether a line begins a paragraph."""
+    gap, size = abs(line[0].y - before[0].y), (before[0].size + line[0].size) / 2
+    if gap > max(2.2 * size, 4.0):
+        return True
+    indented = abs(min(f.x for f in line) - min(f.x for f in before)) > 1.5 * size
+    if gap <= 1.8 * size and not indented:
+        return False
+    last, first = ("".join(f.text for f in sorted(x, key=lambda f: f.x)) for x in (before, line))
+    starts = r"\s*(?:[（(]?[一二三四五六七八九十百千\d]+[）).、：:\s]|第[一二三四五六七八九十\d]+[章节条部分篇])"
+    return indented or last.rstrip().endswith(("。", "；", "！", "？", ".", ";", "）", ")")) or re.match(starts, first) is not None
+
+
 def collapse_quoted(text: str) -> tuple[str, str]:
     """(text up to the first mark of a quoted reply, a note with the start of the rest), or (text, "") where the rest is short."""
     cuts = [m.start() for m in (re.search(p, text, re.M) for p in QUOTE_MARKS) if m]

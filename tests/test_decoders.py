@@ -119,3 +119,20 @@ def test_toc():
 def test_second_candidate_by_name():
     assert [(k, e) for _, k, _, e, _ in d.decoded(b"Subject", "a.txt")] == [("txt", "")]
     assert [(k, e) for _, k, _, e, _ in d.decoded(b"%PDF-1.4 none", "a.txt")] == [("txt", "")]
+
+
+def test_ofd_places_fonts_and_paragraphs():
+    from inkwell.plans.format_plans import _zip_of
+
+    def text(content, boundary, size=4, code="", font="1", matrix=""):
+        return f'<TextObject Boundary="{boundary}" Size="{size}" Font="{font}"{matrix}><TextCode {code}>{content}</TextCode></TextObject>'
+
+    page = (
+        text("第一章", "10 5 80 12", 11, font="2")
+        + text("world", "0 0 90 90", code='X="30" Y="30"') + text("hello ", "10 30 20 4")  # one line, in the order of the places
+        + text("and the rest.", "10 37 60 4") + text("A new one", "10 44.5 60 4")  # 7 apart goes on; 7.5 after a full stop doesn't
+        + text("moved", "0 0 1 1", code='X="5" Y="10"', matrix=' CTM="2 0 0 2 10 60"') + text("  ", "10 70 1 1")
+    )
+    fonts = '<Res><Fonts><Font ID="1" FontName="KaiTi"/><Font ID="2" FontName="黑体"/></Fonts></Res>'
+    data = _zip_of({"OFD.xml": "<x/>", "Doc_0/PublicRes.xml": fonts, "Doc_0/Pages/Page_0/Content.xml": f"<Page>{page}</Page>"})
+    assert [tuple(b[:3]) for b in d.decode_ofd(data)] == [("h", 1, "第一章"), ("p", 0, "hello worldand the rest."), ("p", 0, "A new one"), ("p", 0, "moved")]
