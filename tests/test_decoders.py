@@ -135,4 +135,4 @@ def test_ofd_places_fonts_and_paragraphs():
     )
     fonts = '<Res><Fonts><Font ID="1" FontName="KaiTi"/><Font ID="2" FontName="黑体"/></Fonts></Res>'
     data = _zip_of({"OFD.xml": "<x/>", "Doc_0/PublicRes.xml": fonts, "Doc_0/Pages/Page_0/Content.xml": f"<Page>{page}</Page>"})
-    assert [tuple(b[:3]) for b in d.decode_ofd(data)] == [("h", 1, "第一章"), ("p", 0, "hello worldand the rest."), ("p", 0, "A new one"), ("p", 0, "moved")]
+    assert [tuple(b[:3]) for b in d.decode_ofd(data)] == [("h", 1, "第一章"), ("p", 0, "helloworldand the rest."), ("p", 0, "A new one"), ("p", 0, "moved")]
