@@ -1,4 +1,4 @@
-"""python -m inkwell convert SOURCE OUT STATE | quality FOLDER | watch SOURCE OUT STATE"""
+"""python -m inkwell convert SOURCE OUT STATE | watch SOURCE OUT STATE | file PATH | quality FOLDER | formats"""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ def main() -> None:
         for argument in ("source", "out", "state"):
             own.add_argument(argument)
     commands.add_parser("quality").add_argument("folder")
+    commands.add_parser("file").add_argument("path")
+    commands.add_parser("formats")
     given = parser.parse_args()
     spark = SparkSession.builder.appName("inkwell").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if given.command == "convert":
@@ -28,6 +30,15 @@ def main() -> None:
         from inkwell.streaming.ingest import ingest
 
         ingest(spark, given.source, given.out, given.state)
+    elif given.command == "file":
+        from inkwell.sources.decoders import markdown_of
+
+        for r in markdown_of(spark, given.path).toLocalIterator():
+            print(r.markdown if r.error is None else f"{r.path}: {r.error}")
+    elif given.command == "formats":
+        from inkwell.sources.decoders import formats
+
+        formats(spark).orderBy("name").show(100, False)
     else:
         from inkwell.functions.quality import with_quality
         from inkwell.sources.scan import files

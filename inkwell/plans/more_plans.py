@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.quality import let
 from inkwell.operators import boxes
 from inkwell.operators.aggregates import percent
+from inkwell.sources.decoders import formats
 from inkwell.sources.tables import table
 
 
@@ -65,9 +66,8 @@ def wiki_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supported_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Converters by their name, with their extensions and whether any is there."""
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("ext"), (F.col("p_size") > 25).alias("there"))
-    return p.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("exts"), F.max("there").alias("available"))
+    """The kinds of files that are known, with their extensions and whether they can be read."""
+    return formats(spark)
 
 
 def body_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,11 @@ QUERIES = {
     "reconcile": (reconcile, "SELECT coalesce(CASE WHEN quality = 1 THEN 'completed' WHEN quality = 0 THEN 'failed' END, 'pending') AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"),
     "recognition_summary": (recognition_summary, "SELECT source, count(*) AS total, " + ", ".join(_CNT(c, n) for c, n in (("doc_id % 3 = 0", "cached"), ("doc_id % 3 <> 0", "processed"), ("n_chars > 500", "with_text"), ("n_chars <= 500", "no_text"), ("doc_id % 20 = 0", "failed"))) + ", CAST(round_even(CAST(CAST(sum(doc_id % 10) AS DECIMAL(18, 8)) / count(*) AS DECIMAL(18, 8)), 2) AS DOUBLE) AS avg_seconds FROM documents GROUP BY source"),
     "wiki_progress": (wiki_progress, "SELECT o_orderpriority, total, completed, CAST(round_even(CAST(100 * completed AS DECIMAL(24, 6)) / total, 1) AS DOUBLE) AS pct FROM (SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS completed FROM orders GROUP BY 1)"),
-    "supported_formats": (supported_formats, "SELECT p_brand AS name, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS exts, bool_or(p_size > 25) AS available FROM part GROUP BY 1"),
+    "supported_formats": (
+        supported_formats,
+        "SELECT name, exts, available FROM (VALUES ('txt', 'txt', true), ('md', 'markdown,md', true), ('csv', 'csv', true), ('html', 'htm,html,xhtml', true), ('rtf', 'rtf', true), ('docx', 'docx,wpsx', true), ('xlsx', 'etx,xlsx', true), ('pptx', 'dpsx,pptx', true), ('odt', 'odt', true), ('ofd', 'ofd', true), ('eml', 'eml', true), ('xls', 'et,xls', true), "
+        "('doc', 'doc,wps', true), ('msg', 'msg', true), ('pdf', 'pdf', true), ('zip', 'zip', true), ('gz', 'gz,tgz', true), ('bz2', 'bz2,tbz2', true), ('xz', 'txz,xz', true), ('tar', 'tar', true), ('chm', 'chm', false), ('ppt', 'ppt', false), ('rar', 'rar', false), ('7z', '7z', false)) v(name, exts, available)",
+    ),
     "body_choice": (body_choice, "SELECT conv_id, turn, CASE WHEN length(p) >= 20 AND h = '' THEN 'plain' WHEN length(h) > length(p) THEN 'html' ELSE 'plain' END AS body FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN substr(text, 1, 10) ELSE text END AS p, CASE WHEN turn % 2 = 0 THEN text || '!' ELSE '' END AS h FROM conversations)"),
     "attachment_filter": (attachment_filter, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(floor(event_id * 0.75) AS BIGINT) ELSE event_id END AS size FROM events WHERE event_id % 4 <> 0 AND (event_id % 3 = 0 OR event_id % 5 <> 0) AND NOT (event_id % 4 = 1 AND event_id % 3 = 1)"),
     "safe_output_paths": (safe_output_paths, "SELECT page_id, page_id % 5 IN (0, 2) AS below FROM pages"),

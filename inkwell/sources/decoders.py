@@ -24,7 +24,7 @@ from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import FOLD_KEEP, QUOTE_MARKS
@@ -777,6 +777,24 @@ ARCHIVES = {"zip", "gz", "bz2", "xz", "tar"}
 EXTERNAL = {"chm": "unsupported_format", "ole": "unsupported_format", "ppt": "unsupported_format", "rar": "unsupported_format", "7z": "unsupported_format", "bin": "unsupported_format"}
 
 
+def formats(spark: SparkSession) -> DataFrame:
+    """name, extensions (sorted, with commas) and whether files of it can be read, of all kinds that are known."""
+    names = [*DECODERS, *sorted(ARCHIVES), *(k for k in EXTERNAL if k not in ("ole", "bin"))]
+    rows = [(n, e, n not in EXTERNAL) for n in names for e in [n, *(a for a, k in ALIASES.items() if k == n)]]
+    known = spark.createDataFrame(rows, "name string, ext string, available boolean")
+    return known.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("exts"), F.max("available").alias("available"))
+
+
+def markdown_of(spark: SparkSession, path: str, max_bytes: int = 100 << 20) -> DataFrame:
+    """path, markdown, error of one file (or of each in an archive); a file of more bytes is an error, and isn't read."""
+    from inkwell.functions.render import document_markdown
+
+    listed = spark.read.format("binaryFile").load(re.sub(r"([\\{}\[\]*?,^])", r"\\\1", path))
+    large = listed.filter(F.col("length") > max_bytes).select("path", F.lit(None).cast("string").alias("markdown"), F.lit("resource_limit").alias("error"))
+    made = decode_files(listed.filter(F.col("length") <= max_bytes)).select("path", document_markdown(F.col("blocks")).alias("markdown"), "error")
+    return made.unionByName(large)
+
+
 def toc(content: bytes) -> list[tuple[int, str, str]]:
     """(depth, title, local path) of the entries of a help book's table of contents, in order."""
     out: list[tuple[int, str, str]] = []

@@ -52,6 +52,14 @@ def test_five_runs_keep_all_outputs(spark, tmp_path):
     assert open(f"{out}/f0.txt.md").read() == "text X"
 
 
+def test_one_file(spark, tmp_path):
+    from inkwell.sources.decoders import markdown_of
+
+    put(str(tmp_path / "a[1].html"), b"<h1>T</h1><p>x")
+    assert [(r.markdown, r.error) for r in markdown_of(spark, str(tmp_path / "a[1].html")).collect()] == [("# T\n\nx", None)]
+    assert [(r.markdown, r.error) for r in markdown_of(spark, str(tmp_path / "a[1].html"), 5).collect()] == [(None, "resource_limit")]
+
+
 def test_settings():
     base = {"a": {"b": 1, "f": 1.5, "on": True}, "api_key": "abcdefghijkl"}
     new = config.put(base, "a.b", 2)
