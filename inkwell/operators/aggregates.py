@@ -21,3 +21,20 @@ def upper_median(value: str, by: list[str], df: DataFrame) -> DataFrame:
 def percent(part: Column, whole: Column) -> Column:
     """round(100 * part / whole, 1), or 0 of nothing."""
     return F.when(whole > 0, F.bround((100 * part).cast("decimal(24,6)") / whole, 1).cast("double")).otherwise(F.lit(0.0))
+
+
+def score_gate(frozen: DataFrame, now: DataFrame, key: str, by: str, each: int = 5, mean: int = 3) -> DataFrame:
+    """by, n, n_fell (documents that fell by more than `each`), fall, fails (any of these, or a mean fall above `mean`).
+
+    frozen: key, by, score; now: key, score. A document that has no score now counts as fallen to 0.
+    """
+    current = now.select(F.col(key).alias("_key"), F.col("score").alias("_now"))
+    fall = F.col("score") - F.coalesce("_now", F.lit(0))
+    joined = frozen.join(current, F.col(key) == F.col("_key"), "left").select(by, fall.alias("f"))
+    sums = joined.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("f") > each).cast("long")).alias("n_fell"), F.sum("f").alias("fall"))
+    return sums.withColumn("fails", (F.col("n_fell") > 0) | (F.col("fall") > mean * F.col("n")))
+
+
+def unjudged(pairs: DataFrame, judged: DataFrame, key: str) -> DataFrame:
+    """pairs that no earlier run has judged."""
+    return pairs.join(judged.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import budgets
-from inkwell.operators.aggregates import percent
+from inkwell.operators.aggregates import percent, score_gate, unjudged
 from inkwell.sources.tables import table
 
 ROWS, CELLS, CHARS = 200, 1500, 9000
@@ -142,19 +142,19 @@ def mode_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bench_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frozen scores against current ones: which documents fell by more than 5, and the fall of their source."""
-    frozen = F.col("n_chars") % 100
-    now = F.greatest(F.lit(0), F.col("n_chars") % 100 - F.col("doc_id") % 9)
-    d = table(spark, sf_dir, "documents").select("source", frozen.alias("frozen"), now.alias("now"))
-    by = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("frozen") - F.col("now") > 5).cast("long")).alias("n_fell"), F.sum(F.col("frozen") - F.col("now")).alias("fall"))
-    return by.select("source", "n", "n_fell", "fall", ((F.col("n_fell") > 0) | (F.col("fall") > 3 * F.col("n"))).alias("fails"))
+    """Frozen scores against current ones: which documents fell by more than 5, and the fall of their source; every eleventh has no score now."""
+    d = table(spark, sf_dir, "documents")
+    frozen = d.select("doc_id", "source", (F.col("n_chars") % 100).alias("score"))
+    now = d.filter("doc_id % 11 <> 0").select("doc_id", F.greatest(F.lit(0), F.col("n_chars") % 100 - F.col("doc_id") % 9).alias("score"))
+    return score_gate(frozen, now, "doc_id", "source")
 
 
 def judge_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wins by winner over pairs that haven't been judged before."""
-    l = table(spark, sf_dir, "labels").filter("doc_id % 4 <> 0")  # noqa: E741
+    """Wins by winner over pairs that haven't been judged before: those of documents in French have."""
+    judged = table(spark, sf_dir, "documents").filter("lang = 'fr'").select("doc_id")
+    left = unjudged(table(spark, sf_dir, "labels"), judged, "doc_id")
     winner = F.when(F.col("quality") > F.col("toxic"), "quality").when(F.col("quality") < F.col("toxic"), "toxic").otherwise("tie")
-    return l.groupBy(winner.alias("winner")).agg(F.count(F.lit(1)).alias("n"))
+    return left.groupBy(winner.alias("winner")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def kb_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +204,8 @@ QUERIES = {
     "job_counters": (job_counters, "SELECT *, CAST(round_even(CAST(100 * completed AS DECIMAL(24, 6)) / total, 1) AS DOUBLE) AS pct FROM (SELECT user_id, count(*) AS total, count(*) FILTER (event_id % 7 < 4) AS success, count(*) FILTER (event_id % 7 = 4) AS failed, count(*) FILTER (event_id % 7 = 5) AS skipped, count(*) FILTER (event_id % 7 < 6) AS completed FROM events GROUP BY user_id)"),
     "stats_merge": (stats_merge, "SELECT 'found' AS counter, CAST(sum(doc_id % 5) AS BIGINT) AS total FROM documents UNION ALL SELECT 'missing', CAST(sum(doc_id % 3) AS BIGINT) FROM documents UNION ALL SELECT 'bytes', CAST(sum(n_chars) AS BIGINT) FROM documents"),
     "mode_consistency": (mode_consistency, "SELECT o_custkey, CAST(sum(c) - max(c) AS BIGINT) AS uneven FROM (SELECT o_custkey, k, count(*) AS c FROM (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1"),
-    "bench_gate": (bench_gate, "SELECT *, n_fell > 0 OR fall > 3 * n AS fails FROM (SELECT source, count(*) AS n, count(*) FILTER (f - c > 5) AS n_fell, CAST(sum(f - c) AS BIGINT) AS fall FROM (SELECT source, n_chars % 100 AS f, greatest(0, n_chars % 100 - doc_id % 9) AS c FROM documents) GROUP BY source)"),
-    "judge_wins": (judge_wins, "SELECT CASE WHEN quality > toxic THEN 'quality' WHEN quality < toxic THEN 'toxic' ELSE 'tie' END AS winner, count(*) AS n FROM labels WHERE doc_id % 4 <> 0 GROUP BY 1"),
+    "bench_gate": (bench_gate, "SELECT *, n_fell > 0 OR fall > 3 * n AS fails FROM (SELECT source, count(*) AS n, count(*) FILTER (f - c > 5) AS n_fell, CAST(sum(f - c) AS BIGINT) AS fall FROM (SELECT source, n_chars % 100 AS f, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE greatest(0, n_chars % 100 - doc_id % 9) END AS c FROM documents) GROUP BY source)"),
+    "judge_wins": (judge_wins, "SELECT CASE WHEN quality > toxic THEN 'quality' WHEN quality < toxic THEN 'toxic' ELSE 'tie' END AS winner, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') GROUP BY 1"),
     "kb_fanout": (kb_fanout, "SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation"),
     "route_candidates": (
         route_candidates,

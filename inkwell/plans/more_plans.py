@@ -198,7 +198,13 @@ QUERIES = {
         greedy_box_dedup,
         f"WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY image, t ORDER BY box) AS k FROM ({_GRID})), g AS (SELECT image, t, 0::BIGINT AS k, []::STRUCT(box BIGINT, x BIGINT, y BIGINT)[] AS kept FROM (SELECT DISTINCT image, t FROM b) UNION ALL SELECT b.image, b.t, b.k, CASE WHEN len(list_filter(kept, lambda q: abs(q.x - b.x) <= 24 AND abs(q.y - b.y) <= 12)) > 0 THEN kept ELSE list_append(kept, {{'box': b.box, 'x': b.x, 'y': b.y}}) END FROM g JOIN b ON b.image = g.image AND b.t = g.t AND b.k = g.k + 1) SELECT image, unnest(list_transform(kept, lambda q: q.box)) AS box FROM g QUALIFY k = max(k) OVER (PARTITION BY image, t)",
     ),
-    "reading_order": (reading_order, None),
+    "reading_order": (
+        reading_order,
+        f"WITH RECURSIVE b AS (SELECT image, box, x, y, h, row_number() OVER (PARTITION BY image ORDER BY y, x, box) AS k FROM ({_GRID}) WHERE y % 30 < 4), "
+        "g AS (SELECT image, 0::BIGINT AS k, []::STRUCT(y BIGINT, h BIGINT)[] AS lines, NULL::BIGINT AS box, NULL::BIGINT AS x, NULL::BIGINT AS line FROM (SELECT DISTINCT image FROM b) "
+        "UNION ALL SELECT image, k, CASE WHEN m IS NULL THEN list_append(lines, {'y': y, 'h': h}) ELSE lines END, box, x, coalesce(m, len(lines) + 1) FROM (SELECT b.*, g.lines, nullif(list_position(list_transform(g.lines, lambda q: least(b.y + b.h, q.y + q.h) - greatest(b.y, q.y) > 0.5 * least(b.h, q.h)), true), 0) AS m FROM g JOIN b ON b.image = g.image AND b.k = g.k + 1)) "
+        "SELECT image, box, row_number() OVER (PARTITION BY image ORDER BY line, x, box) - 1 AS place FROM g WHERE box IS NOT NULL",
+    ),
     "swim_lanes": (swim_lanes, "SELECT image, x0, x1, lane FROM (SELECT image, x AS x0, lead(x) OVER w AS x1, row_number() OVER w AS lane, count(*) OVER (PARTITION BY image) AS n FROM (SELECT i % 30 AS image, i // 30 * 50 AS x, i * 31 % 100 AS y1 FROM range(300) r(i)) WHERE y1 >= 60 WINDOW w AS (PARTITION BY image ORDER BY x)) WHERE n >= 4 AND x1 IS NOT NULL"),
     "cell_texts": (cell_texts, "SELECT cell, string_agg(CASE WHEN gap > 19.2 THEN '<br>' ELSE '' END || t, '' ORDER BY y, box) AS text FROM (SELECT *, y - lag(y + 12) OVER (PARTITION BY cell ORDER BY y, box) AS gap FROM (SELECT i % 40 AS cell, i AS box, i // 40 * 30 + CASE WHEN i % 3 = 0 THEN 25 ELSE 0 END AS y, ['p', 'q'][i % 2 + 1] AS t FROM range(400) r(i))) GROUP BY cell"),
     "mail_heads": (mail_heads, "SELECT l_suppkey, '| 附件 | ' || array_to_string(a[:8], ', ') || CASE WHEN len(a) > 8 THEN ' 等 ' || CAST(len(a) AS VARCHAR) || ' 个' ELSE '' END || ' |' AS row FROM (SELECT l_suppkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_orderkey, l_linenumber, l_partkey) AS a FROM lineitem GROUP BY 1)".replace(" AS row", ' AS "row"')),
