@@ -20,6 +20,8 @@ THRESHOLD = 0.8
 CELL = 256
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 CELL_BYTES = 8 << 20
+#: Bytes of text that are hashed at a time.
+PART_BYTES = 1 << 20
 #: Members up to which groups are compared together, and pairs of these at a time.
 SMALL, PAIRS = 32, 20_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -105,17 +107,27 @@ def window_starts(grams: np.ndarray, begins: np.ndarray, ends: np.ndarray, size:
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of runs of `size` words; of a shorter text, one hash of all its words; of no word, none."""
-    words, n_words, _ = column_words(column)
-    grams, ends = gram_hashes(words, size), np.cumsum(n_words)
     out = []
-    for end, n in zip(ends.tolist(), n_words.tolist(), strict=True):
-        if n >= size:
-            out.append(np.unique(grams[end - n : end - size + 1]))
-        else:
-            out.append(gram_hashes(words[end - n : end], n) if n else np.zeros(0, np.uint64))
+    for at, n_texts in parts_of(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)):
+        words, n_words, _ = column_words(column.slice(at, n_texts))
+        grams, ends = gram_hashes(words, size), np.cumsum(n_words)
+        for end, n in zip(ends.tolist(), n_words.tolist(), strict=True):
+            if n >= size:
+                out.append(np.unique(grams[end - n : end - size + 1]))
+            else:
+                out.append(gram_hashes(words[end - n : end], n) if n else np.zeros(0, np.uint64))
     return out
 
 
+def parts_of(sizes: np.ndarray, most: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, how many) of parts of a batch that have about so many bytes; hashing takes some 30 times a part's bytes."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, end - at
+        at = end
+
+
 def minhashes(items: np.ndarray, n: int) -> np.ndarray:
     """The least of n permuted 32-bit hashes."""
     a, b = permutations(n)
@@ -280,8 +292,17 @@ def verifier(threshold: float = THRESHOLD):
             found.append((x + at, y + at))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A few groups at a time: one row may hold two cells of texts."""
+        for whole in batches:
+            bodies = pc.fill_null(pc.binary_length(whole.column(2).flatten().field("body")), 0).to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(bodies)])
+            counts = pc.fill_null(pc.list_value_length(whole.column(2)), 0).to_numpy(zero_copy_only=False)
+            for at, n in parts_of(np.diff(before[np.concatenate([[0], np.cumsum(counts)])]), 2 * PART_BYTES):
+                yield whole.slice(at, n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             members = batch.column(2)
             flat = members.flatten()
             mine, rid, weight = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("mine", "rid", "weight"))
