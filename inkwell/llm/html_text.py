@@ -6,10 +6,11 @@ other pages all blocks do. These blocks are the page's token stream; block ends
 
 The host's suffix array. Of each stream the suffixes that start a block, and those at sampled places (the least hash of
 successive 4-grams, so that equal runs are sampled alike) are dealt to buckets by their first tokens: the whole block,
-or DEPTHS tokens. Buckets of one page hold nothing that repeats. In the others a suffix is sorted among its bucket's,
-forwards by the tokens behind its first ones and backwards by those before them, and the longest common prefix with
-its neighbours of other pages gives the maximal run that it shares with another page. A hot bucket is cut in cells of
-about CELL suffixes.
+or those of DEPTHS. Any run of RUN tokens (depth + step - 1) has a sampled place, so that buckets of one page hold nothing
+that repeats. Around the places in the other buckets every suffix is taken, sampled or not, and put in order by its first
+RUN tokens: one with a neighbour of another page there begins a run, and successive ones of these make a maximal run.
+No run of RUN tokens or more is missed, in buckets of any size; shorter ones count only as whole blocks. Blocks of fewer
+than LONG tokens and others are compared among themselves.
 
 A block is boilerplate if runs that repeat on distinct pages cover COVERED of it: on two pages if it is short, on three
 if it has QUOTED tokens or more, as two pages may quote or copy one text. Boilerplate goes, all else stays whole: a
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stash, table, tidy
@@ -44,11 +45,13 @@ from .suffix_dedup import _power
 GRAM = 4
 LONG = 64
 #: (tokens that name a bucket, places of which one is sampled) in blocks of fewer than LONG tokens, and of others.
-DEPTHS = ((12, 13), (24, 41))
+DEPTHS = ((6, 7), (12, 13))
 COVERED = 0.8
 QUOTED = 30
-CONTEXT = 64
-CELL = 1000
+#: Suffixes with equal first tokens above which they are dealt to SALTS tasks.
+CELL, SALTS = 1000, 32
+#: Places of boilerplate up to which they are sent to all executors (about 40 bytes each); beyond, the pages' blocks are shuffled to them.
+SEND_PLACES = 200_000
 COMMON, COMMON_LEAST = 0.3, 5
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object", "math")}
@@ -170,13 +173,11 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, html to h (bucket), host, key (of the page), block, place (-1: the whole block)."""
+    """host, key (of the page), packed to h (bucket), host, key, block, place (-1: the whole block)."""
     for whole in batches:
         for at in range(0, whole.num_rows, 200):
-            batch = whole.slice(at, 200)
-            hosts, read = batch.column(0).to_numpy(zero_copy_only=False), [blocks_of(x) for x in batch.column(1).to_pylist()]
-            keys = np.array([_key(h, *x) for h, x in zip(hosts.tolist(), read, strict=True)], np.int64)
-            yield _suffixes(hosts, keys, [blocks for blocks, _ in read])
+            host, key, packed = whole.slice(at, 200).columns
+            yield _suffixes(host.to_numpy(zero_copy_only=False), key.to_numpy(zero_copy_only=False), [_unpacked(x) for x in packed.to_pylist()])
 
 
 def _key(host: int, blocks: list[str], marked: bool) -> int:
@@ -211,8 +212,8 @@ def _suffixes(hosts: np.ndarray, keys: np.ndarray, pages: list[list[str]]) -> pa
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, host, html to key, page_id, url, marked, packed (the blocks, compressed)."""
-    made = zstandard.ZstdCompressor(level=3)
+    """page_id, url, host, html to host, key, page_id, url, marked, packed (the blocks, compressed)."""
+    made = zstandard.ZstdCompressor(level=9)
     for whole in batches:
         for at in range(0, whole.num_rows, 200):
             batch = whole.slice(at, 200)
@@ -222,7 +223,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(_key(host, blocks, sure))
                 marked.append(sure)
                 packed.append(made.compress("\n".join(blocks).encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1), pa.array(marked), pa.array(packed, pa.binary())], ["key", "page_id", "url", "marked", "packed"])
+            columns = [batch.column(2), pa.array(keys, pa.int64()), batch.column(0), batch.column(1), pa.array(marked), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "page_id", "url", "marked", "packed"])
 
 
 def _unpacked(packed: bytes) -> list[str]:
@@ -230,75 +232,50 @@ def _unpacked(packed: bytes) -> list[str]:
     return text.split("\n") if text else []
 
 
-def _depth(block_size: int) -> int:
-    return DEPTHS[block_size >= LONG][0]
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """packed, key, hits to h, cell, key, block, place and the tokens behind and before the bucket's, as bytes of four a token.
-
-    Only of blocks that don't repeat whole. Copies of a page give equal rows.
-    """
-    names = ["h", "cell", "key", "block", "place", "behind", "before"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    for batch in batches:
-        rows = []
-        for packed, key, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            whole = {x["block"] for x in hits if x["place"] < 0}
-            blocks = _unpacked(packed)
-            tokens: dict[int, np.ndarray] = {}
-            for x in hits:
-                if x["place"] >= 0 and x["block"] not in whole:
-                    if x["block"] not in tokens:
-                        tokens[x["block"]] = word_hashes(blocks[x["block"]].split(" ")).astype(">u4")
-                    t, a = tokens[x["block"]], x["place"]
-                    b = a + _depth(len(t))
-                    cells = -(-x["n"] // CELL)
-                    rows.append((x["h"], key % cells, key, x["block"], a, t[b : b + CONTEXT].tobytes(), t[max(0, a - CONTEXT) : a][::-1].tobytes()))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """rows with the contexts of the next suffixes of other pages in their bucket's order; equal pages are one row."""
-    rows = rows.dropDuplicates(["h", "cell", "key", "block", "place"])
-    for side in ("behind", "before"):
-        order = Window.partitionBy("h", "cell").orderBy(side, "key", "block", "place")
-        for name, step in (("last", F.lag), ("next", F.lead)):
-            near = step(F.struct("key", F.col(side).alias("c"))).over(order)
-            rows = rows.withColumn(f"{side}_{name}", F.when(near["key"] != F.col("key"), near["c"]))
-    return rows
-
-
-def _common(a: bytes, b: bytes | None) -> int:
-    """Tokens that two contexts begin with alike."""
-    n = min(len(a), len(b or b"")) // 4
-    if not n:
-        return 0
-    same = np.frombuffer(a, np.uint32, n) == np.frombuffer(b, np.uint32, n)
-    return n if same.all() else int(same.argmin())
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many tokens the run reaches before and behind the bucket's."""
-    for batch in batches:
-        r = batch.to_pydict()
-        reach = {side: [max(_common(a, b), _common(a, c)) for a, b, c in zip(r[side], r[f"{side}_last"], r[f"{side}_next"], strict=True)] for side in ("before", "behind")}
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("key", "block", "place")), *(pa.array(reach[s], pa.int32()) for s in ("before", "behind"))], ["key", "block", "place", "before", "behind"])
+def _run(block_size: int) -> int:
+    """RUN of a block."""
+    return sum(DEPTHS[block_size >= LONG]) - 1
 
 
-def kept_blocks(blocks: list[str], marked: bool, hits: list[dict], reach: dict[tuple[int, int], tuple[int, int]]) -> list[str]:
-    """The blocks without boilerplate. hits: block, place (-1: whole), n (distinct pages, at least); reach: of block and place."""
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, key, packed, hits to h, host, key, block, place: all suffixes whose first RUN tokens hold a hit's; whole blocks as they are."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            batch = whole.slice(at, 200)
+            found: list[tuple[np.ndarray, ...]] = []
+            for host, key, packed, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                places: dict[int, list[int]] = defaultdict(list)
+                for x in hits:
+                    if x["place"] < 0:
+                        found.append(tuple(np.array([v], np.int64) for v in (x["h"], host, key, x["block"], -1)))
+                    else:
+                        places[x["block"]].append(x["place"])
+                blocks = _unpacked(packed) if places else []
+                for k, own in places.items():
+                    words = word_hashes(blocks[k].split(" "))
+                    run, step = _run(len(words)), DEPTHS[len(words) >= LONG][1]
+                    start = np.unique(np.add.outer(np.array(own, np.int64), -np.arange(step)))
+                    start = start[(start >= 0) & (start + run <= len(words))]
+                    prefix = np.zeros(len(words) + 1, np.uint64)
+                    np.cumsum(words * _power(2, len(words)), out=prefix[1:])
+                    h = mix(span_hashes(prefix, 0, start, start + run) ^ np.uint64(run) ^ np.int64(host).astype(np.uint64)).astype(np.int64)
+                    found.append((h, *(np.full(len(start), v, np.int64) for v in (host, key, k)), start))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds, strict=True)], ["h", "host", "key", "block", "place"])
+
+
+def kept_blocks(blocks: list[str], marked: bool, hits: list[dict]) -> list[str]:
+    """The blocks without boilerplate. hits: block, place (-1: whole; else of RUN tokens that repeat), n (distinct pages)."""
     if not hits:
         return blocks
     size = [b.count(" ") + 1 for b in blocks]
     runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
     pages: dict[int, int] = {}
     for x in hits:
-        k, n = x["block"], x["n"]
-        before, behind = reach.get((k, x["place"]), (0, 0))
-        runs[k].append((0, size[k]) if x["place"] < 0 else (x["place"] - before, x["place"] + _depth(size[k]) + behind))
-        pages[k] = max(pages.get(k, 0), n)
+        k, at = x["block"], x["place"]
+        runs[k].append((0, size[k]) if at < 0 else (at, at + _run(size[k])))
+        pages[k] = max(pages.get(k, 0), x["n"])
     share = {}
     for k, own in runs.items():
         end = total = 0
@@ -314,43 +291,49 @@ def kept_blocks(blocks: list[str], marked: bool, hits: list[dict], reach: dict[t
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for marked, packed, hits, reach in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-            found = {(x["block"], x["place"]): (x["before"], x["behind"]) for x in reach or ()}
-            texts.append("\n".join(kept_blocks(_unpacked(packed), marked, hits or [], found)))
+        texts = ["\n".join(kept_blocks(_unpacked(packed), marked, hits or [])) for marked, packed, hits in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def _slots(key: Column) -> list[Column]:
-    """Two sets of 64 slots that count distinct keys: what is set in either is a lower bound."""
-    return [F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(shiftright({key}, {s}), 64) AS INT))")) for s in (1, 7)]
+def _repeated(suffixes: DataFrame, hosts: DataFrame) -> DataFrame:
+    """_key, block, place, n (distinct pages) of suffixes (h, host, key, block, place) with an equal of another page that counts for theirs."""
+    each = suffixes.groupBy("h", "key").agg(F.count(F.lit(1)).alias("size"), F.min("host").alias("host"))
+    equal = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("host").alias("host")).filter("n > 1")
+    equal = equal.join(hosts, F.col("host") == F.col("_host"))
+    common = (F.col("size") >= COMMON * F.col("pages")) & (F.col("n") >= COMMON_LEAST)
+    equal = stash(equal.select(F.col("h").alias("_h"), "n", "size", common.alias("common")), "equal")
+    hot = equal.filter(F.col("size") > CELL).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = suffixes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    names = ["key", "block", "place", "n", "common"]
+    few = suffixes.join(equal.filter(F.col("size") <= CELL), F.col("h") == F.col("_h")).select(names)
+    many = salted.join(hot, (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_salt"))).select(names)
+    return few.unionByName(many).filter(F.col("common") | (F.col("key").bitwiseAND(1) == 0)).select(F.col("key").alias("_key"), "block", "place", "n")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", r"^\w+://([^/:?#]*)", 1), F.lit(""))))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    suffixes = own.select("host", "html").mapInArrow(tidy(_sampled, forget), "h long, host long, key long, block int, place int")
-    a, b = _slots("key")
-    buckets = suffixes.groupBy("h").agg(a.alias("a"), b.alias("b"), F.count(F.lit(1)).alias("size"), F.min("host").alias("host"))
-    hosts = own.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("pages"))
-    n = F.greatest(F.bit_count("a"), F.bit_count("b"))
-    buckets = buckets.select("h", n.alias("n"), "size", "host").filter("n > 1").join(hosts, F.col("host") == F.col("_host"))
-    common = (F.col("size") >= COMMON * F.col("pages")) & (F.col("n") >= COMMON_LEAST)
-    buckets = stash(buckets.select(F.col("h").alias("_h"), "n", "size", common.alias("common")), "buckets")
-    hits = suffixes.drop("host").join(buckets, F.col("h") == F.col("_h")).filter(F.col("common") | (F.col("key").bitwiseAND(1) == 0))
-    hits = hits.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("h", "block", "place", "n", "size")).alias("hits"))
-    hits = stash(hits, "hits")
-
-    packed = own.mapInArrow(tidy(_packed), "key long, page_id long, url string, marked boolean, packed binary")
-    partial = hits.filter(F.exists("hits", lambda x: x["place"] >= 0))
-    asked = packed.join(partial, F.col("key") == F.col("_key")).select("packed", "key", F.transform("hits", lambda x: F.struct(x["h"].alias("h"), x["block"].alias("block"), x["place"].alias("place"), x["size"].alias("n"))).alias("hits"))
-    contexts = asked.mapInArrow(tidy(_contexts, forget), "h long, cell int, key long, block int, place int, behind binary, before binary")
-    reach = _neighbours(contexts).mapInArrow(_extended, "key long, block int, place int, before int, behind int")
-    reach = reach.filter("before + behind > 0").groupBy(F.col("key").alias("_of")).agg(F.collect_list(F.struct("block", "place", "before", "behind")).alias("reach"))
-
-    joined = packed.join(hits, F.col("key") == F.col("_key"), "left").join(reach, F.col("key") == F.col("_of"), "left")
-    found = joined.select("page_id", "url", "marked", "packed", F.transform("hits", lambda x: F.struct(x["block"].alias("block"), x["place"].alias("place"), x["n"].alias("n"))).alias("hits"), "reach")
+    packed = stash(own.mapInArrow(tidy(_packed), "host long, key long, page_id long, url string, marked boolean, packed binary"), "blocks")
+    hosts = packed.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("pages"))
+
+    suffixes = packed.select("host", "key", "packed").mapInArrow(tidy(_sampled, forget), "h long, host long, key long, block int, place int")
+    unmarked = F.min(F.col("key").bitwiseAND(1)) == 0
+    short = F.col("h").bitwiseAND((1 << 40) - 1)  # buckets may hold others too, as what is in them is compared again
+    buckets = suffixes.groupBy(short.alias("_h")).agg((F.min("key") < F.max("key")).alias("many"), unmarked.alias("unmarked"), F.count(F.lit(1)).alias("size"), F.min("host").alias("host"))
+    buckets = buckets.filter("many").join(hosts, F.col("host") == F.col("_host"))
+    # marked pages alone need as many equal suffixes as make what is in them common
+    buckets = buckets.filter(F.col("unmarked") | (F.col("size") >= F.greatest(COMMON * F.col("pages"), F.lit(COMMON_LEAST))))
+    buckets = stash(buckets.select("_h"), "buckets")
+    hits = suffixes.drop("host").join(buckets, short == F.col("_h"))
+    hits = hits.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("h", "block", "place")).alias("hits"))
+
+    asked = packed.join(hits, F.col("key") == F.col("_key")).select("host", "key", "packed", "hits")
+    around = stash(asked.mapInArrow(tidy(_around, forget), "h long, host long, key long, block int, place int"), "suffixes")
+    repeats = stash(_repeated(around, hosts).groupBy("_key").agg(F.collect_set(F.struct("block", "place", "n")).alias("hits")), "repeats")
+    places = repeats.agg(F.sum(F.size("hits"))).first()[0] or 0
+
+    found = packed.join(F.broadcast(repeats) if places <= SEND_PLACES else repeats, F.col("key") == F.col("_key"), "left").select("page_id", "url", "marked", "packed", "hits")
     return found.mapInArrow(_kept, "page_id long, url string, text string").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -114,3 +114,24 @@ def test_very_long_and_odd_pages(spark):
     rows = [(1, "http://a.example/1", f"<p>{long}"), (2, "http://a.example/2", f"<p>{long}<p>more text"), (3, None, None), (4, "http://a.example/4", ""), (5, "", "<p></p>"), (1, "http://a.example/1", f"<p>{long}")]
     got = collections.Counter((r.page_id, r.n_chars) for r in h.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == {(1, len(long)): 2, (2, len(long) + 10): 1, (3, 0): 1, (4, 0): 1, (5, 0): 1}
+
+
+def test_runs_anywhere_in_blocks_are_found(spark):
+    """Notices of 16 to 28 or 66 to 90 tokens with a word of the page's own in them go, wherever it stands; what fewer pages have stays."""
+    rng = random.Random(11)
+    notices = [words(rng, n) for n in (*range(15, 28), *range(65, 90, 2))]
+    # 80 % of a notice is in one run that is a sampled place's only by chance
+    at = [rng.choice([0, 1, len(x) - 1, len(x)]) for x in notices]
+    pages = [[" ".join(words(rng, 33)), *(" ".join([*x[:k], f"page{i}", *x[k:]]) for x, k in zip(notices, at, strict=True))] for i in range(4)]
+    assert extract(spark, pages) == [x[:1] for x in pages]
+    assert extract(spark, pages[:2]) == [[b for b in x if b == x[0] or b.count(" ") + 1 >= h.QUOTED] for x in pages[:2]]
+
+
+def test_marked_pages_count_for_unmarked_ones(spark):
+    """A notice that one unmarked page shares with two marked ones goes from it."""
+    rng = random.Random(12)
+    notice = words(rng, 40)
+    bodies = [f"<p>{' '.join(words(rng, 60))}</p><p>{' '.join([*notice, f'page{i}'])}</p>" for i in range(9)]
+    rows = [(i, f"http://a.example/{i}", f"<article>{b}</article>" if i in (1, 2) else b if not i else f"<p>{' '.join(words(rng, 50))}</p>") for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text.split("\n") for r in h.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got[0]) == 1 and len(got[1]) == len(got[2]) == 2
