@@ -5,14 +5,16 @@ inside a longer line or be wrapped over short ones, windows of MIN_WORDS words o
 the word 5-gram has the least hash of STEP successive places, and at both ends of the text, so that any passage of
 MIN_WORDS + STEP - 1 words has the same windows in it wherever it stands. A shorter text is one paragraph.
 
-Equal paragraphs are one node. MinHash bands (of ROWS[0] values of lines, ROWS[1] of windows, whose first
-5-gram counts too, as those of one text overlap) join colliding nodes to candidate groups, in which every two are verified by the exact Jaccard similarity of their word
-5-grams. In each component the first paragraph (least doc_id, then place) stays, with those that overlap it; the
+Equal paragraphs are one node. Windows that begin with the same 5-gram, and lines (those as long as a window too) that
+collide in MinHash bands of ROWS[0] values, are joined to candidate groups, in which every two are verified by the exact
+Jaccard similarity of their word 5-grams. In each component the first paragraph (least doc_id, then place) stays, with those that overlap it; the
 words of the others go. A band's nodes are joined to one of them in each task before the shuffle, so that a band of
 a third of all rows has a row a task there.
 
-Losses: lines of similarity 0.8 share no band with probability 0.0012, windows that begin alike with 0.04, and equal
-ones are never missed; windows that begin otherwise are another paragraph. Nodes are known by 64-bit hashes of their words.
+Losses: lines of similarity 0.8 share no band with probability 1e-7; windows that begin alike, and equal paragraphs, are
+never missed; windows that begin otherwise are another paragraph, and windows of one text are compared with lines of
+33 words or more of another only where equal or similar paragraphs bring them into one group. Nodes are known by 64-bit
+hashes of their words.
 
 Defined results: white space isn't compared; null, empty and blank texts have no paragraph; paragraphs that repeat
 inside a document are removed there too, but not for overlapping each other; rows that are alike in doc_id and text
@@ -39,8 +41,8 @@ from .suffix_dedup import _power
 
 MIN_WORDS = 32
 STEP = 19
-#: Of lines and of windows.
-ROWS, BANDS = (3, 1), (10, 2)
+#: Of lines and of windows, whose first 5-gram is the key.
+ROWS, BANDS = (3, 0), (24, 1)
 WORD_PATTERN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -64,6 +66,7 @@ class Items:
         self.text = np.searchsorted(ends, self.at, "right")
         self.start = self.at - begins[self.text]
         self.window = self.size == min_words
+        self.line = ~self.window | np.isin(keys, place[-2][0] << 32 | place[-2][1])  # a line may be as long as a window
         prefix = np.zeros(len(self.words) + 1, np.uint64)
         np.cumsum(self.words * _power(2, len(self.words)), out=prefix[1:])
         self.rid = mix(span_hashes(prefix, 0, self.at, self.at + self.size) ^ self.size.astype(np.uint64)).astype(np.int64)
@@ -78,7 +81,7 @@ class Items:
         """(rid, band key) of the chosen items, those of fewer than SHINGLE words left out; n_bands: of lines and of windows."""
         chosen = np.sort(chosen[self.size[chosen] >= SHINGLE])  # by place, for reduceat
         a, b = permutations(max(n * rows for n, rows in zip(n_bands, ROWS, strict=True)))
-        windows, lines = chosen[self.window[chosen]], chosen[~self.window[chosen]]
+        windows, lines = chosen[self.window[chosen]], chosen[self.line[chosen]]
         rids, keys = [], []
         for own, n, rows in zip((lines, windows), n_bands, ROWS, strict=True):
             if not len(own):

@@ -167,3 +167,17 @@ def test_words_of_a_column():
         known = dict(zip(words, hashes.tolist(), strict=True))
         assert len(set(known.values())) == len(set(words)) and [known[w] for w in words] == hashes.tolist()
     assert column_words(pa.array([], pa.string()))[0].dtype == np.uint64
+
+
+def test_no_pair_of_windows_or_short_lines_is_left_out(spark):
+    """Texts of 32 words that differ in the last three (similarity 25/31), and lines of 32 words with a copy of 33 (28/29)."""
+    rng = random.Random(13)
+    docs = []
+    for i in range(150):
+        line = words(rng, p.MIN_WORDS)
+        docs += [(10 * i, " ".join(line)), (10 * i + 1, " ".join([*line[:-3], *words(rng, 3)]))]
+        line = words(rng, p.MIN_WORDS)
+        docs += [(10 * i + 2, " ".join(line)), (10 * i + 3, " ".join([*line, "more"]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in p.dedup_paragraphs(frame).collect()}
+    assert [d for d, r in got.items() if r.n_repeated < p.MIN_WORDS or r.class_ids != [d // 10 * 10 + d % 10 // 2 * 2]] == []
