@@ -1,6 +1,9 @@
 """Operator 6: distinct words are encoded once a memo."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from inkwell.llm import sentence_piece as s
 
@@ -17,3 +20,16 @@ def test_words_of_many_texts_are_encoded_once(monkeypatch):
     codec._empty_memo()
     assert not asked and all(map(np.array_equal, first, again))
     assert all(map(np.array_equal, first, codec.own.encode(texts, num_threads=1, return_type="numpy")))
+
+
+def test_the_memo_holds_few_bytes_a_word():
+    codec = s._loaded(s.MODEL)
+    codec._empty_memo()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for k in range(20):
+        codec.encode([" ".join(f"w{i}x{k}" for i in range(5000))])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    codec._empty_memo()
+    assert held < 100 * 100_000
