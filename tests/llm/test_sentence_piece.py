@@ -33,3 +33,30 @@ def test_the_memo_holds_few_bytes_a_word():
     tracemalloc.stop()
     codec._empty_memo()
     assert held < 100 * 100_000
+
+
+def test_a_full_memo_keeps_the_words_that_are_used_most(monkeypatch):
+    codec = s._loaded(s.MODEL)
+    codec._empty_memo()
+    monkeypatch.setattr(codec, "MEMO", 2000)
+    often = " ".join(f"often{i}" for i in range(500))
+    texts = [f"{often} {' '.join(f'w{i}x{k}' for i in range(900))}" for k in range(12)]
+    asked = []
+    whole = codec._encode_words
+    monkeypatch.setattr(codec, "_encode_words", lambda words: asked.append(len(words)) or whole(words))
+    got = [codec.encode([t])[0] for t in texts]
+    codec._empty_memo()
+    assert asked == [1400] + [900] * 11
+    assert all(map(np.array_equal, got, codec.own.encode(texts, num_threads=1, return_type="numpy")))
+
+
+def test_words_with_odd_markers_and_pieces_of_all_kinds():
+    codec = s._loaded(s.MODEL)
+    codec._empty_memo()
+    texts = ["", " ", "  a  b ", "a▁b", "▁", "▁▁x y", "x ", " x", "tab\tnew\n line", "é 日本 \x00 ​", "a" * 3000, "🙂 🙂", " ".join(f"v{i}" for i in range(4500)), "x"]
+    ids = codec.encode(texts)
+    assert all(map(np.array_equal, ids, codec.own.encode(texts, num_threads=1, return_type="numpy")))
+    assert codec.decode(ids) == [t.replace("▁", " ") for t in texts]
+    assert codec.decode([]) == [] and codec.encode([]) == []
+    odd = [np.array([i], np.int32) for i in range(300)]
+    assert codec.decode(odd)[3:] == [codec.tokenizer.decode(o.tolist(), skip_special_tokens=False) for o in odd][3:]
