@@ -102,7 +102,18 @@ def window_starts(grams: np.ndarray, begins: np.ndarray, ends: np.ndarray, size:
     least = least_of_runs((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), step)
     end_of = np.repeat(ends, ends - begins)[: len(least)]
     inside = np.arange(len(end_of)) + (step - 1 + size) <= end_of
-    return np.unique((least[: len(end_of)][inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+    return distinct((least[: len(end_of)][inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; np.unique hashes numbers, which takes far longer than to sort them."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, on end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -110,12 +121,17 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     out = []
     for at, n_texts in parts_of(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)):
         words, n_words, _ = column_words(column.slice(at, n_texts))
-        grams, ends = gram_hashes(words, size), np.cumsum(n_words)
-        for end, n in zip(ends.tolist(), n_words.tolist(), strict=True):
-            if n >= size:
-                out.append(np.unique(grams[end - n : end - size + 1]))
-            else:
-                out.append(gram_hashes(words[end - n : end], n) if n else np.zeros(0, np.uint64))
+        ends = np.cumsum(n_words)
+        counts = np.maximum(n_words - size + 1, 0)
+        items, number = np.unique(gram_hashes(words, size)[ranges(ends - n_words, counts)], return_inverse=True)
+        have = distinct(np.repeat(np.arange(n_texts) * len(items), counts) + number)  # by text and hash, without a loop over texts
+        edges = np.searchsorted(have, np.arange(n_texts + 1) * len(items))
+        values = items[have - np.repeat(np.arange(n_texts) * len(items), np.diff(edges))]
+        edges = edges.tolist()
+        sets = [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for i in np.flatnonzero((n_words > 0) & (n_words < size)).tolist():
+            sets[i] = gram_hashes(words[ends[i] - n_words[i] : ends[i]], int(n_words[i]))
+        out += sets
     return out
 
 
@@ -178,7 +194,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]]:
     """Edges that join what the pairs join, fewer than n."""
-    up = list(range(n))
+    a, b = np.minimum(*pairs), np.maximum(*pairs)
+    least = np.arange(n)
+    np.minimum.at(least, b, a)
+    found = [(i, j) for j, i in enumerate(least.tolist()) if i != j]  # of each node the edge to its least one
+    top = least
+    while (top[top] != top).any():
+        top = top[top]
+    left = top[a] != top[b]  # few pairs, which these don't join
+    up = top.tolist() if left.any() else []
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -186,11 +210,10 @@ def forest(pairs: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]
             x = up[x]
         return x
 
-    found = []
-    for i, j in zip(*(p.tolist() for p in pairs), strict=True):
-        a, b = root(i), root(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
+    for i, j in zip(a[left].tolist(), b[left].tolist(), strict=True):
+        x, y = root(i), root(j)
+        if x != y:
+            up[max(x, y)] = min(x, y)
             found.append((i, j))
     return found
 
@@ -232,7 +255,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + 4096, 4096))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if b > a:
-            m = np.zeros((n, 4096), np.float32)
+            m = np.zeros((n, column[b - 1] % 4096 + 1), np.float32)  # as wide as there are items: most groups have few
             m[owner[a:b], column[a:b] % 4096] = 1
             out += m @ m.T
     np.fill_diagonal(out, [len(s) for s in sets])
@@ -320,8 +343,7 @@ def verifier(threshold: float = THRESHOLD):
             texts = np.bincount(np.concatenate([a, b]), minlength=len(rid))
             docs = np.bincount(np.concatenate([a, b]), np.concatenate([weight[b], weight[a]]), len(rid)).astype(np.int64)
             some = np.flatnonzero(texts)
-            kept = forest((a, b), len(rid))
-            x, y = (np.array(c, np.int64) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64),) * 2
+            x, y = np.array(forest((a, b), len(rid)), np.int64).reshape(-1, 2).T
             nothing, none = np.zeros(len(x), np.int64), pa.nulls(len(some), pa.int64())
             columns = [np.concatenate([rid[some], rid[x]]), pa.concat_arrays([none, pa.array(rid[y], pa.int64())]), np.concatenate([texts[some], nothing]), np.concatenate([docs[some], nothing])]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], ["rid", "other", "texts", "docs"])

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import row_of, small_batches, stash, table, tidy, with_text
-from .near import SHINGLE, THRESHOLD, column_words, components, dealt, forget, gram_hashes, least_of_runs, permutations, verified, window_starts
+from .near import SHINGLE, THRESHOLD, column_words, components, dealt, distinct, forget, gram_hashes, permutations, ranges, verified, window_starts
 from .suffix_dedup import _hashes as span_hashes
 from .suffix_dedup import _mix as mix
 from .suffix_dedup import _power
@@ -61,7 +61,7 @@ class Items:
         brief = (self.n_words > 0) & (self.n_words < min_words)
         place.append((begins[brief], self.n_words[brief]))
         at, size = (np.concatenate(x) for x in zip(*place, strict=True))
-        keys = np.unique(at << 32 | size)
+        keys = distinct(at << 32 | size)
         self.at, self.size = keys >> 32, keys & 0xFFFFFFFF
         self.text = np.searchsorted(ends, self.at, "right")
         self.start = self.at - begins[self.text]
@@ -86,15 +86,15 @@ class Items:
         for own, n, rows in zip((lines, windows), n_bands, ROWS, strict=True):
             if not len(own):
                 continue
-            first, last = self.at[own], self.at[own] + self.size[own] - SHINGLE + 1
+            first, n_grams = self.at[own], self.size[own] - SHINGLE + 1
+            grams = self.grams[ranges(first, n_grams)] if rows else self.grams[:0]
+            begins, value = np.cumsum(n_grams) - n_grams, np.empty_like(grams)
             for band in range(n):
                 key = np.full(len(own), band, np.uint64) if own is lines else self.grams[first] ^ np.uint64(band)
                 for p in range(band * rows, band * rows + rows):
-                    value = ((self.grams * a[p] + b[p]) >> np.uint64(32)).astype(np.uint32)
-                    if own is windows:
-                        low = least_of_runs(value, int(last[0] - first[0]))[first]
-                    else:
-                        low = np.minimum.reduceat(np.append(value, np.uint32(0xFFFFFFFF)), np.column_stack([first, last]).ravel())[::2]
+                    np.multiply(grams, a[p], out=value)
+                    np.add(value, b[p], out=value)
+                    low = np.minimum.reduceat(value, begins) >> np.uint64(32)
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
                 rids.append(self.rid[own])
                 keys.append(key.astype(np.int64))
@@ -139,14 +139,20 @@ def _banded(min_words: int, step: int, bands: tuple[int, int]):
             rid, band = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
             if not len(rid):
                 continue
-            order = np.lexsort((rid, band))
+            order = np.argsort(band)
             rid, band = rid[order], band[order]
             head = np.concatenate([[True], band[1:] != band[:-1]])
-            first = rid[head][np.cumsum(head) - 1]
-            edges = np.unique(np.column_stack([first, rid])[rid != first], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(band[head]), pa.array(rid[head]), pa.nulls(int(head.sum()), pa.int64())], ["band", "a", "b"])
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 1]), pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["band", "a", "b"])
+            least = np.minimum.reduceat(rid, np.flatnonzero(head))
+            first = least[np.cumsum(head) - 1]
+            first, rid = first[rid != first], rid[rid != first]
+            order = np.lexsort((rid, first))
+            first, rid = first[order], rid[order]
+            new = np.ones(len(rid), bool)
+            new[1:] = (first[1:] != first[:-1]) | (rid[1:] != rid[:-1])
+            first, rid = first[new], rid[new]
+            yield pa.RecordBatch.from_arrays([pa.array(band[head]), pa.array(least), pa.nulls(len(least), pa.int64())], ["band", "a", "b"])
+            if len(rid):
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(first), pa.array(rid)], ["band", "a", "b"])
 
     return tidy(run, forget), "band long, a long, b long"
 

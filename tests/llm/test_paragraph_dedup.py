@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from inkwell.llm import near
 from inkwell.llm import paragraph_dedup as p
 from inkwell.llm.near import column_words
 
@@ -181,3 +182,35 @@ def test_no_pair_of_windows_or_short_lines_is_left_out(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r for r in p.dedup_paragraphs(frame).collect()}
     assert [d for d, r in got.items() if r.n_repeated < p.MIN_WORDS or r.class_ids != [d // 10 * 10 + d % 10 // 2 * 2]] == []
+
+
+def test_large_groups_are_compared_without_wide_matrices(monkeypatch):
+    """Groups of 40 texts of some 40 words have few shingles that repeat; a matrix of 4096 columns each took most of the time."""
+    rng = random.Random(14)
+    line = words(rng, 40)
+    texts = [" ".join([*line[:-1], *words(rng, 1)]) for _ in range(30)] + [" ".join(words(rng, 40)) for _ in range(10)] + ["", "a b", "a b", *["x y z z z z z z z"] * 2]
+    sets = near.shingle_sets(pa.array(texts))
+    assert [set(s.tolist()) for s in sets] == [{*near.gram_hashes(column_words(pa.array([t]))[0], min(5, len(t.split()))).tolist()} if t else set() for t in texts]
+    assert all((s[1:] > s[:-1]).all() for s in sets)
+    cells, zeros = [], np.zeros
+    monkeypatch.setattr(near.np, "zeros", lambda shape, *kind: cells.append(np.prod(shape)) or zeros(shape, *kind))
+    common = near.intersections(sets)
+    monkeypatch.undo()
+    assert common.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets] for x in sets]
+    assert max(cells) <= len(sets) * max(len(sets), 50)
+
+
+def test_forests_join_what_pairs_join():
+    rng = random.Random(15)
+    for n in (1, 2, 5, 40, 300):
+        for many in (0, 1, n // 2, 3 * n):
+            pairs = np.array([rng.sample(range(n), 2) for _ in range(many if n > 1 else 0)], np.int64).reshape(-1, 2).T
+            edges = near.forest((pairs[0], pairs[1]), n)
+            both = [collections.defaultdict(set), collections.defaultdict(set)]
+            for of, some in zip(both, (pairs.T.tolist(), edges), strict=True):
+                top = list(range(n))
+                for a, b in some:
+                    top = [min(top[a], top[b]) if t in (top[a], top[b]) else t for t in top]
+                for x, t in enumerate(top):
+                    of[t].add(x)
+            assert both[0] == both[1] and len(edges) == n - len(both[0])
