@@ -60,3 +60,23 @@ def test_words_with_odd_markers_and_pieces_of_all_kinds():
     assert codec.decode([]) == [] and codec.encode([]) == []
     odd = [np.array([i], np.int32) for i in range(300)]
     assert codec.decode(odd)[3:] == [codec.tokenizer.decode(o.tolist(), skip_special_tokens=False) for o in odd][3:]
+
+
+def test_the_memo_is_not_hashed_again_for_each_batch(monkeypatch):
+    """A batch's words are looked up; words of one hash are told apart, also in a memo that was trimmed."""
+    codec = s._loaded(s.MODEL)
+    codec._empty_memo()
+    codec.encode([" ".join(f"w{i}" for i in range(20000))])
+    joined = []
+    whole = s.pa.concat_arrays
+    monkeypatch.setattr(s.pa, "concat_arrays", lambda parts: joined.append(sum(map(len, parts))) or whole(parts))
+    codec.encode([" ".join(f"w{i}" for i in range(100))])
+    assert not joined
+    monkeypatch.undo()
+    codec._empty_memo()
+    monkeypatch.setattr(codec, "MEMO", 300)
+    monkeypatch.setattr(s, "_word_keys", lambda words: np.array([len(w.as_py()) for w in words], np.uint64))
+    texts = [" ".join(f"a{(i * k) % 90}b{i % 7}" for i in range(120)) for k in range(1, 12)] + ["", "▁ ▁x", "  a"]
+    got = [codec.encode([t])[0] for t in texts]
+    codec._empty_memo()
+    assert all(map(np.array_equal, got, codec.own.encode(texts, num_threads=1, return_type="numpy")))
